@@ -12,6 +12,7 @@ their rank in any order; an empty table gives no rows; a very long text is token
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -25,13 +26,23 @@ from loomspark.llm._common import binaries, cut, ids_and_texts, prepare, token_p
 
 CAPACITY, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Words that a worker remembers in each of two generations; what falls out is tokenized anew.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Rows of a length that are ranked together.
 RANKED = 1 << 20
 
 
-class WordIds:
-    """Ids of texts, word by word: the tokenizer never merges across ASCII white space, and words recur."""
+_BYTES = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+#: Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+_BYTE_LEVEL = {b: b for b in _BYTES} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _BYTES)}
+_PLAIN = re.compile(r"[!-~¡-¬®-ÿ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+
+
+class WordIds(dict):
+    """Ids (little-endian 32-bit) of words: the tokenizer never merges across ASCII white space, and words recur.
+
+    Printable Latin words are lower-cased and split here as the vocabulary file says, and go straight to its BPE model;
+    all others go through the whole tokenizer."""
 
     made: dict[str, WordIds] = {}
 
@@ -39,7 +50,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.old: dict[bytes, bytes] = {}
 
     @classmethod
@@ -48,31 +59,24 @@ class WordIds:
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def learn(self, unknown: list[bytes]) -> None:
-        """Unknown words go to the tokenizer in long lines, and come apart by where their tokens begin."""
-        for at in range(0, len(unknown), 2000):
-            some = [w.decode() for w in unknown[at : at + 2000]]
-            coded = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4")
-            begin = np.array([a for a, _ in coded.offsets], np.int64)
-            ends = np.cumsum([len(w) + 1 for w in some])
-            cuts = np.searchsorted(begin, ends).tolist()
-            lo = 0
-            for word, hi in zip(unknown[at : at + 2000], cuts, strict=True):
-                self.new[word] = ids[lo:hi].tobytes()
-                lo = hi
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        missing = set().union(*split) - self.new.keys()
-        for w in missing & self.old.keys():
-            self.new[w] = self.old[w]
-        self.learn(list(missing - self.old.keys()))
-        found = self.new.__getitem__
-        out = [b"".join(map(found, ws)) for ws in split]
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
+    def __missing__(self, word: bytes) -> bytes:
+        if (ids := self.old.get(word)) is None:
+            w = word.decode()
+            if _PLAIN.fullmatch(w) and "<|" not in w:
+                bpe = self.model.tokenize
+                found = [t.id for p in _PIECES.findall(w.lower()) for t in bpe(p.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+            else:
+                found = self.tokenizer.encode(w, add_special_tokens=False).ids
+            ids = np.array(found, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a text."""
+        out = b"".join(map(self.__getitem__, text.split()))
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
         return out
 
 
@@ -87,7 +91,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
             ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
             for at in range(0, len(ids), 100):
                 rows: list[tuple] = []
-                for doc, code in zip(ids[at : at + 100], coder.encode(texts[at : at + 100]), strict=True):
+                for doc, code in zip(ids[at : at + 100], map(coder.encode, texts[at : at + 100]), strict=True):
                     code += end
                     for k in range(0, len(code), 4 * capacity):
                         part = code[k : k + 4 * capacity]
