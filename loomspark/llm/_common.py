@@ -175,6 +175,17 @@ def binaries(values: list[bytes]) -> pa.Array:
 # ---- connected components ---------------------------------------------------------------------
 
 
+def local_links(adj: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Least id that each row of a symmetric link matrix hangs together with."""
+    label = ids.copy()
+    big = np.iinfo(np.int64).max
+    while True:
+        new = np.minimum(label, np.where(adj, label[None, :], big).min(axis=1))
+        if (new == label).all():
+            return label
+        label = new
+
+
 def components(links: DataFrame) -> DataFrame:
     """Of links (a, b) between longs: node, component (the smallest node that can be reached).
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import components, cut, prepare
+from loomspark.llm._common import components, cut, local_links, prepare
 
 COSINE = 0.93
 #: Rows that the centroids are fitted on, vectors for each cell and cells at most, rows of a block.
@@ -59,17 +59,6 @@ def cells_of(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np
     return home, near
 
 
-def local_links(adj: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Least id that each row of a symmetric link matrix hangs together with."""
-    label = ids.copy()
-    big = np.iinfo(np.int64).max
-    while True:
-        new = np.minimum(label, np.where(adj, label[None, :], big).min(axis=1))
-        if (new == label).all():
-            return label
-        label = new
-
-
 def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vectors: id, grp, n (how many it stands for), embedding. Returns id, n_links (counting copies of others), least (an id it hangs together with)."""
     spark = vectors.sparkSession

@@ -4,8 +4,8 @@ A document's set is hashed once; each of BINS bins keeps its least hash, and an
 hash points it to, again and again until one is full. Bands of ROWS bins are bucket keys: a pair at the threshold
 misses all of them with a chance of 3e-6. Equal sets are first folded into one representative. Within a bucket edges form a
 star (to the least id, then to the member with most links), so their number is linear in the bucket; each is confirmed
-on full sets. What the stars may have left, members of one bucket that are still in different components, is then
-compared pair by pair where their sizes allow a link, so no link that a bucket holds is lost between components.
+on full sets. What the stars may have left, members of one bucket that are still in different components, then meets in
+blocks that count common shingles with matrix products and give a forest, so no link between components is lost.
 
 Defined results: null and empty texts have an empty set and link with nothing; fewer words than a shingle are one
 shingle; repeated rows and equal sets share a component; rows that repeat an id share one set, the first by its hash;
@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import binaries, components, cut, gram_hashes, ids_and_texts, mix, prepare, seeds, slices, utf8, word_hashes, words
+from loomspark.llm._common import binaries, components, cut, gram_hashes, ids_and_texts, local_links, mix, prepare, seeds, slices, utf8, word_hashes, words
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
+#: Documents of a bucket that are compared with each other at a time.
+BLOCK = 512
 #: Tries of densification before an empty bin takes the next full one.
 TRIES = 64
 
@@ -125,6 +127,43 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return edges.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
+def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components within a bucket: rows has key, id, component, blocks.
+
+    A bucket's blocks meet in pairs; each pair of blocks counts all common shingles with one matrix product, and gives one
+    row for a document at most: with the least id that its links there lead to."""
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    dealt = rows.withColumn("block", block).withColumn("pair", F.explode(both)).select("key", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "block", "id", "component")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, comp, side = (table[c].to_numpy() for c in ("id", "component", "block"))
+        data, off = utf8(table["shingles"])
+        all_ = data[off[0] : off[-1]].view(np.uint64)
+        size = np.diff(off) // 8
+        row = np.repeat(np.arange(len(ids)), size)
+        _, col, times = np.unique(all_, return_inverse=True, return_counts=True)
+        use = times[col] > 1
+        row, col = row[use], np.unique(col[use], return_inverse=True)[1]
+        common = np.zeros((len(ids), len(ids)), np.float32)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+            part = slice(*np.searchsorted(col, [lo, lo + 4096]))
+            m = np.zeros((len(ids), 4096), np.float32)
+            m[row[part], col[part] - lo] = 1
+            common += m @ m.T
+        either = size[:, None] + size[None, :] - common
+        adj = (100 * common >= percent * either) & (comp[:, None] != comp[None, :])
+        if table["i"][0] != table["j"][0]:
+            adj &= side[:, None] != side[None, :]
+        some = adj.any(axis=1)
+        a = ids[some]
+        return pa.table({"a": a, "b": local_links(adj[np.ix_(some, some)], a) if len(a) else a})
+
+    return dealt.join(sets.withColumnRenamed("doc_id", "id"), "id").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     texts = ids_and_texts(docs, id_col, text_col)
@@ -144,25 +183,22 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_c
     sets = cut(full_sets(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle))
     links = cut(confirmed(tested, sets, percent))
     found = components(links)
-    for last in (False, True):
-        label = found.select(F.col("node").alias("id"), F.col("component"))
-        known = buckets.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if last:
-            split = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-            left = cut(known.join(split, "key"))
-            other = left.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = left.join(other, "key").where("id < b and component <> cb").where(fits(F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b")
-        else:
-            degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
-            ranked = known.join(degree, "id", "left").na.fill(0, ["d"])
-            hub = ranked.groupBy("key").agg(F.max(F.struct("d", F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("component").alias("ch"))).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "h.hub", "h.nh", "h.ch")
-            pairs = known.join(hub, "key").where("component <> ch").where(fits(F.col("n"), F.col("nh"))).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        fresh = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        more = cut(confirmed(fresh, sets, percent))
-        if not more.isEmpty():
-            links = cut(links.unionByName(more))
-            found = components(links)
-        tested = tested.unionByName(fresh)
+    label = found.select(F.col("node").alias("id"), F.col("component"))
+    known = buckets.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+    ranked = known.join(degree, "id", "left").na.fill(0, ["d"])
+    hub = ranked.groupBy("key").agg(F.max(F.struct("d", F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("component").alias("ch"))).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "h.hub", "h.nh", "h.ch")
+    pairs = known.join(hub, "key").where("component <> ch").where(fits(F.col("n"), F.col("nh"))).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    more = cut(confirmed(cut(pairs.distinct().join(tested, ["a", "b"], "left_anti")), sets, percent))
+    if not more.isEmpty():
+        links = cut(links.unionByName(more))
+        found = components(links)
+    label = found.select(F.col("node").alias("id"), F.col("component"))
+    known = buckets.select("key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rest = cut(across(known.join(mixed, "key"), sets, percent))
+    if not rest.isEmpty():
+        found = components(links.unionByName(rest))
     rep = found.select(F.col("node").alias("rep"), "component")
     # a representative's component is the least representative, which is the least id of all
     placed = members.join(rep, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
