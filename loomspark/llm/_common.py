@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.session import ship
+
 #: Rows of one Arrow batch: texts average a few kB, so a batch stays in the tens of MB.
 ARROW_ROWS = 1000
 #: Bytes of text that numpy works on at a time.
@@ -43,20 +44,9 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED: set[str] = set()
-
-
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and bound their Arrow batches."""
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        root = Path(__file__).resolve().parents[2]
-        made = Path(tempfile.mkdtemp(), "loomspark.zip")
-        with zipfile.ZipFile(made, "w") as z:
-            for p in sorted((root / "loomspark").rglob("*.py")):
-                z.write(p, p.relative_to(root))
-        spark.sparkContext.addPyFile(str(made))
-        _SHIPPED.add(app)
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
