@@ -7,6 +7,7 @@ import wave
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,13 +37,16 @@ def log_mel(x: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum((np.abs(np.fft.rfft(frames * window)) ** 2) @ mel_filters(), 1e-10)).astype(np.float32)
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
-def log_mel_udf(waves: pd.Series) -> pd.Series:
+def _log_mels(waves: pd.Series) -> pd.Series:
     return waves.map(lambda x: None if x is None or not len(x) else log_mel(x).tolist())
 
 
-@F.pandas_udf("struct<samples:array<float>, error:string>")
-def decode_pcm(raw: pd.Series) -> pd.DataFrame:
+def log_mel_udf(wave_col: Column) -> Column:
+    """array<array<float>> of a column of samples."""
+    return F.pandas_udf(_log_mels, T.ArrayType(T.ArrayType(T.FloatType())))(wave_col)
+
+
+def _decoded(raw: pd.Series) -> pd.DataFrame:
     """WAV bytes to mono samples at RATE; what can't be read gives an error, never a failure."""
     out = []
     for b in raw:
@@ -58,3 +62,8 @@ def decode_pcm(raw: pd.Series) -> pd.DataFrame:
         except Exception as e:  # noqa: BLE001
             out.append((None, f"{type(e).__name__}: {e}"))
     return pd.DataFrame(out, columns=["samples", "error"])
+
+
+def decode_pcm(raw_col: Column) -> Column:
+    """struct<samples, error> of a column of WAV bytes."""
+    return F.pandas_udf(_decoded, "struct<samples:array<float>, error:string>")(raw_col)
