@@ -77,14 +77,15 @@ def automaton(text: bytes, code: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.zeros((len(nexts), width), np.int32)
-    root = np.zeros(width, np.int32)
+    dead = len(nexts)  # after a byte that occurs nowhere: whatever follows begins a phrase
+    root = np.full(width, dead, np.int32)
     root[list(nexts[0])] = list(nexts[0].values())
-    table[:] = root | _FLAG
+    table = np.tile(root | _FLAG, (dead + 1, 1))
+    table[0] = root
     state = np.repeat(np.arange(len(nexts)), [len(x) for x in nexts])
     table[state, [c for x in nexts for c in x]] = [s for x in nexts for s in x.values()]
     table[:, _PAD] = 0
-    return table.ravel() * 1
+    return table.ravel()
 
 
 class Parser:
