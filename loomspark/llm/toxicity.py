@@ -2,8 +2,8 @@
 
 A bag holds the hashed character n-grams (3 to 5 bytes, with word ends) of WIDE consecutive words (a run of one word
 counts once); its mean embedding
-goes through a linear softmax. Labels are of documents, so training alternates: first on windows drawn from each
-document under its label, then on the windows that the model itself finds most toxic, in toxic and in clean documents.
+goes through a linear softmax. Labels are of documents, so training alternates: first on the windows whose n-grams
+toxic documents hold more often, then on those that the model itself finds most toxic, in toxic and in clean documents.
 A document's score is a logistic of its most toxic window and its number of windows, fitted on sampled documents that
 the embeddings did not see. As the softmax is linear, each n-gram has one number, and whole texts are scored with sums.
 
@@ -26,8 +26,8 @@ from loomspark.llm._common import ids_and_texts, prepare, slices, word_hashes, w
 
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1500, 2500, 40_000
 WIDE, BITS, DIM = 8, 17, 8
-#: Windows drawn from each document at first; most toxic windows taken of a toxic and of a clean document later.
-DRAWN, OF_TOXIC, OF_CLEAN = 10, 2, 3
+#: Windows drawn at random from a clean document; most toxic windows taken of a toxic and of a clean document.
+DRAWN, OF_TOXIC, OF_CLEAN = 4, 2, 3
 ROUNDS, BATCH, RATE = 3, 256, 0.5
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -141,6 +141,24 @@ def _softmax_fit(bags: list[np.ndarray], y: np.ndarray, emb: np.ndarray, soft: n
             np.add.at(emb, idx, (-rate * 20) * np.repeat(back, size, axis=0))
 
 
+def _picked(texts: list[bytes], y: np.ndarray, weight: np.ndarray, bias: float, rng: np.random.Generator) -> list[np.ndarray]:
+    """First words of each text's most toxic windows, which don't overlap much, and of some others in clean texts."""
+    pick = []
+    for lo in range(0, len(texts), 64):
+        some = texts[lo : lo + 64]
+        off = np.concatenate(([0], np.cumsum([len(t) for t in some])))
+        logits, _, at = window_logits(np.frombuffer(b"".join(some), np.uint8), off, weight, bias)
+        for d in range(len(some)):
+            z = logits[at[d] : at[d + 1]]
+            top: list[int] = []
+            for w in np.argsort(-z)[: 12 * WIDE].tolist():
+                if len(top) < (OF_TOXIC if y[lo + d] else OF_CLEAN) and all(abs(w - t) >= WIDE // 2 for t in top):
+                    top.append(w)
+            extra = rng.choice(len(z), min(len(z), DRAWN), replace=False).tolist() if len(z) and not y[lo + d] else []
+            pick.append(np.array(top + extra, np.int64))
+    return pick
+
+
 def train(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Model | None:
     """Embeddings, softmax and head from labelled texts (UTF-8); None if they are all of one kind."""
     y = np.asarray(y, np.int64)
@@ -152,24 +170,17 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Model | None:
     emb = rng.normal(0, 0.1, (1 << BITS, DIM))
     soft, bias = rng.normal(0, 1, (DIM, 2)), np.zeros(2)
     own = [texts[k] for k in fit]
-    n = np.array([max(1, len(t.split()) - WIDE + 1) if t.split() else 0 for t in own])
-    pick = [rng.choice(k, min(k, DRAWN), replace=False) for k in n]
+    # document frequencies name the first windows; embeddings and softmax take over from there
+    seen = np.zeros((2, 1 << BITS))
+    for k, t in zip(fit, own, strict=True):
+        buckets, valid, *_ = grams(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        seen[y[k], np.unique(np.concatenate([b[v] for b, v in zip(buckets, valid, strict=True)]))] += 1
+    share = (seen + 0.5) / (np.bincount(y[fit], minlength=2)[:, None] + 1)
+    pick = _picked(own, y[fit], np.log(share[1] / share[0]).astype(np.float32), 0.0, rng)
     for turn in range(ROUNDS):
         _softmax_fit(_bags(own, pick), np.repeat(y[fit], [len(p) for p in pick]), emb, soft, bias, 2 if turn else 3, rng)
         weight = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
-        pick = []
-        for lo in range(0, len(own), 64):
-            some = own[lo : lo + 64]
-            off = np.concatenate(([0], np.cumsum([len(t) for t in some])))
-            logits, _, at = window_logits(np.frombuffer(b"".join(some), np.uint8), off, weight, bias[1] - bias[0])
-            for d in range(len(some)):
-                z = logits[at[d] : at[d + 1]]
-                top: list[int] = []
-                for w in np.argsort(-z)[: 12 * WIDE].tolist():  # windows that don't overlap much
-                    if len(top) < (OF_TOXIC if y[fit[lo + d]] else OF_CLEAN) and all(abs(w - t) >= WIDE // 2 for t in top):
-                        top.append(w)
-                extra = rng.choice(len(z), min(len(z), 2), replace=False).tolist() if len(z) and not y[fit[lo + d]] else []
-                pick.append(np.array(top + extra, np.int64))
+        pick = _picked(own, y[fit], weight, float(bias[1] - bias[0]), rng)
     model = Model(weight, float(bias[1] - bias[0]), np.zeros(3))
     x = np.concatenate([model.features(np.frombuffer(texts[k], np.uint8), np.array([0, len(texts[k])])) for k in rest])
     head = np.zeros(3)
