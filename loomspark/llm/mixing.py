@@ -13,10 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.llm._common import cut
+
 #: Shares follow size^TEMPERATURE unless they are given.
 TEMPERATURE, SEED = 0.5, 17
 #: A rate is cut at this many repeats of a document; a hashed number has 48 bits.
 MOST_RATE, BITS = 16.0, 48
+#: Sources whose rates are broadcast at most; parts of a source beyond that.
+BROADCAST, SALTS = 10_000, 64
 #: Terms of the inversion: beyond these no number of 48 bits is left at MOST_RATE.
 TERMS = 72
 
@@ -55,10 +59,15 @@ def poisson(u: Column, rate: Column) -> Column:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs, each row as often as its count says, with _copy (from 0) and _order (hex key of the global shuffle).
 
-    The rates, a row for each source, are joined on; they are broadcast only if Spark finds them small."""
-    table = rates(docs, weights, size, source_col)
+    The rates, a row for each source, are broadcast if there are BROADCAST at most (they are counted); beyond that both sides are salted."""
+    table = cut(rates(docs, weights, size, source_col)).select(F.col("source_key").alias("_source_key"), F.col("rate").alias("_rate"))
     keyed = docs.withColumn("_source_key", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    joined = keyed.join(table.select(F.col("source_key").alias("_source_key"), F.col("rate").alias("_rate")), "_source_key")
+    if table.count() <= BROADCAST:
+        joined = keyed.join(F.broadcast(table), "_source_key")
+    else:
+        salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")
+        spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("_salt", salt).join(spread, ["_source_key", "_salt"]).drop("_salt")
     counted = joined.withColumn("_times", poisson(uniform(seed, F.col(id_col)), F.col("_rate")))
     copies = counted.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_copy").cast("string")).cast("binary"))

@@ -79,11 +79,13 @@ def test_plan_places_every_piece(seed):
     assert fill.max() <= 4096 and bins <= -(-sum(k * c for k, c in n.items()) // 4096) * 1.02 + 1
 
 
-def test_mixing(spark, docs, none):
+def test_mixing(spark, docs, none, monkeypatch):
     got = mixing.mix(docs, {"s": 3.0, "": 1.0}, size=4000.0)
     n = {r["s"]: r["count"] for r in got.groupBy(F.coalesce("source", F.lit("")).alias("s")).count().collect()}
     assert set(got.columns) == {*docs.columns, "_copy", "_order"} and 0 < n[""] < n["s"]
     assert mixing.mix(none).count() == 0
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert sorted(r._order for r in mixing.mix(docs, {"s": 3.0, "": 1.0}, size=4000.0).collect()) == sorted(r._order for r in got.collect())
     u = spark.range(20000).select(mixing.poisson(mixing.uniform(1, F.col("id")), F.lit(2.5)).alias("k")).agg(F.avg("k"), F.var_pop("k")).first()
     assert u[0] == pytest.approx(2.5, abs=0.05) and u[1] == pytest.approx(2.5, abs=0.12)
 
