@@ -169,7 +169,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_c
     texts = ids_and_texts(docs, id_col, text_col)
     sketched = cut(sketch(texts, shingle))
     held = sketched.where("n_shingles > 0")
-    classes = held.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # a table of its own: the join below then has an exchange of its own, whose hot classes adaptive execution can split
+    classes = cut(held.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     firsts = cut(held.join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
     members = firsts.select("doc_id", "rep").distinct()
     rows = firsts.where("keys is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
