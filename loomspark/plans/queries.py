@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.distance import cer, edit_distance, wer
 from loomspark.functions.hashing import order_key, split_of, subset_of, text_bucket, unit_interval
 from loomspark.functions.text import TWI
-from loomspark.operators import decode, frames, metrics, pairs, sampling, stats
+from loomspark.operators import decode, frames, metrics, pairs, runs, sampling, stats
 from loomspark.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,3 +443,60 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "source", (F.col("r") + F.col("base")).cast("int").alias("place"))
 
 
+
+
+_PROBE = "h AS (SELECT (user_id % 7)::INTEGER AS class, CASE event_id % 4 WHEN 0 THEN -1 ELSE 20 * (event_id % 4)::INTEGER END AS margin, CASE WHEN coalesce(value, 0) >= 30 THEN 1 ELSE 0 END AS hit FROM events)"
+
+
+def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("event_id") % 4
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 7).cast("int").alias("class"), F.when(m != 0, 20 * m.cast("int")).alias("margin"), (F.coalesce("value", F.lit(0.0)) >= 30).alias("hit"))
+
+
+@query(f"WITH {_PROBE} SELECT margin, class, count(*) AS n, round(avg(hit), 9) AS accuracy FROM h GROUP BY GROUPING SETS ((margin), (margin, class)) HAVING grouping(class) = 1 OR count(*) >= 20")
+def probe_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.probe_report(_probed(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query(f"WITH {_PROBE}, k(a, b) AS (VALUES (1, 2), (0, 5)) SELECT a, b, margin, count(*) AS n, round(avg(hit), 9) AS accuracy FROM h JOIN k ON class IN (a, b) GROUP BY a, b, margin")
+def probe_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.createDataFrame([(1, 2), (0, 5)], "a int, b int")
+    return runs.probe_contrasts(_probed(spark, sf_dir), pairs).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query("SELECT p_partkey, round(CASE WHEN p_partkey < 100 THEN p_partkey / 100 ELSE 0.5 * (1 + cos(pi() * least(1.0, (p_partkey - 100) / 1400))) END, 9) AS rate FROM part")
+def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(runs.learning_rate(F.col("p_partkey"), 1500, 100), 9).alias("rate"))
+
+
+@query("SELECT event_type, sum(user_id % 9 + 1)::BIGINT AS n, round(sum(value * (user_id % 9 + 1)) / sum(user_id % 9 + 1), 6) AS loss FROM events GROUP BY event_type")
+def training_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 9 + 1).alias("n"), F.col("value").alias("loss"))
+    return runs.running_mean(e, "event_type", "n", "loss").withColumn("loss", F.round("loss", 6))
+
+
+@query("""WITH w(artifact, pattern) AS (VALUES ('first', '%src1%'), ('second', '%src2%'), ('never', '%none%')), f AS (SELECT source || '/' || lang AS path, n_chars AS length FROM documents)
+SELECT artifact, count(path) AS files, coalesce(sum(length), 0)::BIGINT AS bytes, count(path) > 0 AS found FROM w LEFT JOIN f ON path LIKE pattern GROUP BY artifact""")
+def which_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    want = spark.createDataFrame([("first", "%src1%"), ("second", "%src2%"), ("never", "%none%")], "artifact string, pattern string")
+    return runs.artifacts(want, table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("path"), F.col("n_chars").cast("long").alias("length")))
+
+
+@query()
+def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("ref"))
+    return runs.text_scores(t.select("conv_id", (F.col("turn") + 1).alias("turn"), "ref").join(t.withColumnRenamed("ref", "hyp"), ["conv_id", "turn"]), "hyp", "ref")
+
+
+@query()
+def posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames by best class of an untrained tagger over synthetic tones: mel, network, argmax and runs in one plan."""
+    from loomspark.functions.audio import log_mel_udf
+    from loomspark.functions.tagger import long_posteriors, posteriors_udf, random_tagger
+    from loomspark.session import ship
+
+    ship(spark)
+    tone = F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda i: F.sin(i * (F.col("r_regionkey") + 1) / 50).cast("float"))
+    mel = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("utt"), log_mel_udf(tone).alias("mel"))
+    long = long_posteriors(mel.select("utt", posteriors_udf(spark, random_tagger(["<sil>", "a", "b"]), F.col("mel")).alias("p")), "p")
+    return decode.runs(decode.argmax(decode.smooth(long, 3))).groupBy("utt").agg(F.count("*").alias("runs"), F.sum("n").alias("frames"))
