@@ -1,10 +1,13 @@
 """Embedding near-duplicates: spherical k-means cells, and blocked cosine products within them.
 
 Equal vectors of a label are folded into one representative with its count. Each vector goes to the cell of its nearest
-centroid, and also to every cell whose dividing plane is within half the largest distance that a link can span: of two linked vectors
-in different cells one at least is that close to the plane between them, so a cell that holds one as its own holds the other
-too, and no link is lost. Cells are split into blocks of BLOCK rows that meet in pairs; a pair of blocks gives
-one row for a vector at most (its links there, and the least id it hangs together with), however many links there are.
+centroid (there it is at home), and as a guest to every cell whose dividing plane is within reach. A link spans at most
+d = sqrt(2 - 2 cosine), so with a reach of d / 2 one of its ends would always be a guest in the other's cell. In many dimensions
+almost all cells are that near, while a difference rarely points along a plane's normal: in D dimensions its share along it
+has a deviation of 1 / sqrt(D). The reach is SIGMAS of these (d / 2 at most, which is exact: so in up to SIGMAS squared
+dimensions, and wherever there is one cell); tests measure the recall. A cell's own rows meet each other and its guests in blocks of
+BLOCK rows, guests never each other; a pair of blocks gives one row for a vector at most (its links there, and the least id it
+hangs together with), however many links there are.
 
 Defined results: a vector that is null, empty or zero, or holds a null or non-finite component, or has a null label, links
 with nothing and stands for itself; vectors of different lengths never link; repeated rows link with each other; an empty table gives no rows.
@@ -17,11 +20,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import components, cut, local_links, prepare
+from loomspark.llm._common import components, cut, prepare
 
 COSINE = 0.93
 #: Rows that the centroids are fitted on, vectors for each cell and cells at most, rows of a block.
-FIT_ROWS, PER_CELL, CELLS, BLOCK = 4096, 2000, 512, 1024
+FIT_ROWS, PER_CELL, CELLS, BLOCK = 8192, 8000, 1024, 1024
+#: Deviations of a link's share along a plane's normal that a guest's reach covers.
+SIGMAS = 4.0
 
 
 def valid(embedding: str = "embedding") -> Column:
@@ -59,74 +64,94 @@ def cells_of(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np
     return home, near
 
 
-def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """vectors: id, grp, n (how many it stands for), embedding. Returns id, n_links (counting copies of others), least (an id it hangs together with)."""
+def least_met(adj: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows a and columns b of a link matrix the least id that each hangs together with."""
+    big = np.iinfo(np.int64).max
+    while True:
+        a2 = np.minimum(a, np.where(adj, b[None, :], big).min(axis=1, initial=big))
+        b2 = np.minimum(b, np.where(adj, a2[:, None], big).min(axis=0, initial=big))
+        if (a2 == a).all() and (b2 == b).all():
+            return a, b
+        a, b = a2, b2
+
+
+def linked(vectors: DataFrame, cosine: float = COSINE, single: bool = False) -> DataFrame:
+    """vectors: id, grp, n (how many it stands for), embedding. Returns id, n_links (counting copies of others), least (an id it hangs together with).
+
+    single: all components are single-precision numbers, and travel as such."""
     spark = vectors.sparkSession
     prepare(spark)
-    total = vectors.count()
-    k = int(min(CELLS, max(1, total // PER_CELL)))
-    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)) / 2 + 1e-6)
+    kind = np.dtype(np.float32 if single else np.float64)
+    k = int(min(CELLS, max(1, vectors.count() // PER_CELL)))
     dims = [r.d for r in vectors.select(F.size("embedding").alias("d")).distinct().limit(64).collect()]
     by_dim = {}
     for d in dims:
         rows = vectors.where(F.size("embedding") == d).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("embedding").collect()
         by_dim[d] = centroids(unit([r.embedding for r in rows]), k)
+    half = float(np.sqrt(max(0.0, 2 - 2 * cosine)) / 2)
 
     def assign(batches):
         for df in batches:
             for d, part in df.groupby(df["embedding"].map(len)):
-                x = unit(part["embedding"].tolist())
                 c = by_dim.get(d, np.ones((1, d)) / np.sqrt(d))
-                home, near = cells_of(x, c, reach)
+                home, near = cells_of(unit(part["embedding"].tolist()), c, half * min(1.0, SIGMAS / np.sqrt(d)) + 1e-6)
+                raw = [np.asarray(v, kind).tobytes() for v in part["embedding"]]
+                goes = [np.flatnonzero(m).astype(np.int32).tobytes() for m in near]
                 row, cell = np.nonzero(near)
-                more = [np.flatnonzero(m).astype(np.int32).tobytes() for m in near]
+                own = cell == home[row]
                 out = part.iloc[row]
-                yield pd.DataFrame({"grp": out["grp"].to_numpy(), "cell": cell * 4096 + d % 4096, "id": out["id"].to_numpy(), "n": out["n"].to_numpy(), "home": home[row].astype(np.int32), "cells": [more[i] for i in row], "unit": [x[i].tobytes() for i in row]})
-
-    held = cut(vectors.select("grp", "id", "n", "embedding").mapInPandas(assign, "grp long, cell long, id long, n long, home int, cells binary, unit binary"))
-    sizes = held.groupBy("grp", "cell").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = held.join(sizes.select("grp", "cell", "blocks"), ["grp", "cell"]).withColumn("block", mine)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = dealt.withColumn("pair", F.explode(pairs)).select("grp", "cell", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "block", "id", "n", "home", "cells", "unit")
+                # where a row goes counts at its home alone
+                yield pd.DataFrame({"grp": out["grp"].to_numpy(), "cell": cell * 4096 + d % 4096, "own": own, "id": out["id"].to_numpy(), "n": out["n"].to_numpy(), "home": home[row].astype(np.int32), "cells": [goes[i] if o else b"" for i, o in zip(row, own, strict=True)], "vector": [raw[i] for i in row]})
+
+    held = cut(vectors.select("grp", "id", "n", "embedding").mapInPandas(assign, "grp long, cell long, own boolean, id long, n long, home int, cells binary, vector binary"))
+    blocks = lambda what: F.ceil(F.count_if(what) / BLOCK).cast("int")
+    sizes = held.groupBy("grp", "cell").agg(blocks(F.col("own")).alias("owns"), blocks(~F.col("own")).alias("guests")).where("owns > 0")
+    hashed = F.xxhash64("id")
+    block = F.when(F.col("own"), F.pmod(hashed, "owns")).otherwise(F.col("owns") + F.pmod(hashed, "guests")).cast("int")
+    # own blocks meet all blocks of the cell, guests its own ones
+    last = F.when(F.col("own"), F.col("owns") + F.col("guests")).otherwise(F.col("owns")) - 1
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    dealt = held.join(sizes, ["grp", "cell"]).withColumn("block", block).withColumn("pair", F.explode(pairs)).select("grp", "cell", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "block", "id", "n", "home", "cells", "vector")
 
     def compare(df: pd.DataFrame) -> pd.DataFrame:
         cell, i, j = int(df["cell"].iloc[0]) // 4096, df["i"].iloc[0], df["j"].iloc[0]
-        x = np.stack([np.frombuffer(u) for u in df["unit"]])
-        home, block, ids, n = (df[c].to_numpy() for c in ("home", "block", "id", "n"))
-        adj = x @ x.T >= cosine
-        np.fill_diagonal(adj, False)
-        own = home == cell
-        adj &= own[:, None] | own[None, :]
+        a = df[df["block"] == i]
+        b = a if i == j else df[df["block"] == j]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "n_links": [], "least": []}).astype("int64")
+        x, y = (unit([np.frombuffer(v, kind) for v in side["vector"]]) for side in (a, b))
+        adj = x @ y.T >= cosine
+        if i == j:
+            np.fill_diagonal(adj, False)
         # a pair that meets in both home cells counts in the lesser one
-        width = int(max(home.max(), cell)) + 1
-        goes = np.zeros((len(df), width), bool)
-        for r, c in enumerate(df["cells"]):
-            c = np.frombuffer(c, np.int32)
-            goes[r, c[c < width]] = True
-        back = goes[:, home]  # row r goes to the home cell of column s
-        twice = own[:, None] & ~own[None, :] & back & (home[None, :] < cell)
-        adj &= ~(twice | twice.T)
+        other = b["home"].to_numpy()
+        if (other < cell).any():
+            goes = np.zeros((len(a), int(max(other.max(), cell)) + 1), bool)
+            for r, c in enumerate(a["cells"]):
+                c = np.frombuffer(c, np.int32)
+                goes[r, c[c < goes.shape[1]]] = True
+            adj &= ~(goes[:, other] & (other < cell)[None, :])
+        rows, cols = adj.any(axis=1), adj.any(axis=0)
+        adj, a, b = adj[np.ix_(rows, cols)], a[rows], b[cols]
+        la, lb = least_met(adj, a["id"].to_numpy(), b["id"].to_numpy())
+        out = [pd.DataFrame({"id": a["id"].to_numpy(), "n_links": adj @ b["n"].to_numpy(), "least": la})]
         if i != j:
-            adj &= block[:, None] != block[None, :]
-        some = adj.any(axis=1)
-        if not some.any():
-            return pd.DataFrame({"id": [], "n_links": [], "least": []}).astype("int64")
-        least = local_links(adj[np.ix_(some, some)], ids[some])
-        return pd.DataFrame({"id": ids[some], "n_links": adj[some] @ n, "least": least})
+            out.append(pd.DataFrame({"id": b["id"].to_numpy(), "n_links": adj.T @ a["n"].to_numpy(), "least": lb}))
+        return pd.concat(out)
 
     return dealt.groupBy("grp", "cell", "i", "j").applyInPandas(compare, "id long, n_links long, least long")
 
 
 def groups(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id of every row of table."""
+    single = table.select(vec_col).dtypes[0][1] == "array<float>"
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("grp"), F.col(vec_col).cast("array<double>").alias("embedding"))
     rows = rows.withColumn("ok", F.coalesce(valid() & F.col("grp").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
     keyed = rows.withColumn("key", F.when(F.col("ok"), F.sha2(F.array_join("embedding", ",").cast("binary"), 256)))
     keyed = cut(keyed)
     classes = cut(keyed.where("ok").groupBy("grp", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")))
     # one vector may hold several rows' ids, and ids may repeat under other labels: classes are told apart by number
-    found = cut(linked(classes.select("grp", F.col("rep").alias("id"), "n", "embedding"), cosine))
+    found = cut(linked(classes.select("grp", F.col("rep").alias("id"), "n", "embedding"), cosine, single))
     links = components(found.select(F.col("id").alias("a"), F.col("least").alias("b")))
     counts = found.groupBy("id").agg(F.sum("n_links").alias("others"))
     named = classes.select("grp", "key", "rep", "n").join(counts, F.col("rep") == F.col("id"), "left").drop("id").join(links, F.col("rep") == F.col("node"), "left")

@@ -212,6 +212,22 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.groups(df.limit(0)).count() == 0
 
 
+def test_embedding_recall(spark, monkeypatch):
+    """Links as far apart as they may be, in random directions, over many cells: none but a few in a thousand is lost, none is made up."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e = rng.normal(size=x.shape)
+    e -= (e * x).sum(axis=1, keepdims=True) * x
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    c = rng.uniform(0.931, 0.94, (1500, 1))
+    v = np.concatenate((x, c * x + np.sqrt(1 - c * c) * e)).astype(np.float32)
+    monkeypatch.setattr(embedding_dedup, "PER_CELL", 100)
+    df = spark.createDataFrame([(k, r.tolist(), 1) for k, r in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.groups(df).collect()}
+    assert all(g in ((1, k % 1500), (0, k)) for k, g in got.items()) and sum(n for n, _ in got.values()) >= 0.99 * 3000
+
+
 def test_topk(spark):
     table = vectors(spark)
     df = spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").withColumn("score", F.lit(1))
