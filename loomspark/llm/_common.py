@@ -55,6 +55,12 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(texts: DataFrame, text_col: str = "text", each: int = 16 << 20) -> int:
+    """As many buckets as leave `each` bytes of text to one, and at least as many as there are shuffle partitions."""
+    size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(parts(texts.sparkSession), 16, -(-size // each))
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id (as long) and the text (null: empty); whatever else the table has can't clash with what is added."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -137,13 +143,19 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 11, lower: bool = False) -> np.ndarray:
-    """64 bits for each word."""
-    p = _POWERS[seed]
-    up, down = p.to(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(p.table[_LOWER[data] if lower else data] * up[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64 bits for each word, from its own bytes alone; a very long text is taken SLICE bytes at a time (one word at least)."""
+    out = np.empty(len(starts), np.uint64)
+    p, lo = _POWERS[seed], 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLICE, "right")))
+        some, s, e = data[starts[lo] : ends[hi - 1]], starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo]
+        up, down = p.to(len(some) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(some) + 1, np.uint64)
+            np.cumsum(p.table[_LOWER[some] if lower else some] * up[: len(some)], out=sums[1:])
+            out[lo:hi] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        lo = hi
+    return out
 
 
 def gram_hashes(h: np.ndarray, n: int, seed: int = 11) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import cut, gram_hashes, ids_and_texts, mix, parts, prepare, slices, utf8, word_hashes, words
+from loomspark.llm._common import buckets_for, cut, gram_hashes, ids_and_texts, mix, parts, prepare, slices, utf8, word_hashes, words
 
 WINDOW, GRAM = 35, 8
 #: Runs that are compacted to one; entries that a task gathers before it sends them.
@@ -241,21 +241,29 @@ def _verified(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket the stretches of windows that occur twice: uid, first, number."""
     join = lambda c, t: np.frombuffer(b"".join(rows[c]), t)
     key, uid, pos, size, seq = join("key", np.uint64), join("uid", np.int64), join("pos", np.int32), join("size", np.int32).astype(np.int64), join("seq", np.uint64)
-    k = np.repeat(key, size)
-    order = np.lexsort((k, seq))
-    same = (seq[order][1:] == seq[order][:-1]) & (k[order][1:] == k[order][:-1])
+    # an eighth of a bucket's windows is sorted at a time: equal ones fall into the same
     twice = np.zeros(len(seq), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    u = np.repeat(uid, size)
+    part = (seq >> np.uint64(61)).astype(np.uint8)
+    stretch = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    for eighth in range(8):
+        at = np.flatnonzero(part == eighth)
+        s, k = seq[at], key[stretch[at]]
+        order = np.lexsort((k, s))
+        s, k = s[order], k[order]
+        same = np.flatnonzero((s[1:] == s[:-1]) & (k[1:] == k[:-1]))
+        twice[at[order[same]]] = twice[at[order[same + 1]]] = True
+    del part, stretch
     # a stretch without a uid stands for several: what equals one of its windows repeats
-    p = np.repeat(pos.astype(np.int64), size) + np.arange(len(seq)) - np.repeat(np.cumsum(size) - size, size)
-    at = np.flatnonzero(twice & (u != _NONE))
+    twice &= np.repeat(uid != _NONE, size)
+    at = np.flatnonzero(twice)
     if not len(at):
         return pd.DataFrame({"uid": [], "first": [], "n": []}).astype({"uid": "int64", "first": "int32", "n": "int32"})
-    new = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(p[at]) != 1) | (np.diff(u[at]) != 0)))
+    ends = np.cumsum(size)
+    of = np.searchsorted(ends, at, "right")
+    u, p = uid[of], pos[of] + at - (ends - size)[of]
+    new = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(p) != 1) | (np.diff(u) != 0)))
     first = np.flatnonzero(new)
-    return pd.DataFrame({"uid": u[at[first]], "first": p[at[first]].astype(np.int32), "n": np.diff(np.append(first, len(at))).astype(np.int32)})
+    return pd.DataFrame({"uid": u[first], "first": p[first].astype(np.int32), "n": np.diff(np.append(first, len(at))).astype(np.int32)})
 
 
 def _stretches(packed: DataFrame) -> DataFrame:
@@ -275,7 +283,7 @@ def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: in
     """docs (doc_id, text) with cover: array<struct<first, n>>, the repeated windows of each (null: none). The index takes them in `batches` batches."""
     spark = docs.sparkSession
     keyed = docs.select("doc_id", _uid(), "text")
-    log = FingerprintLog(spark, window=window, gram=gram)
+    log = FingerprintLog(spark, buckets_for(docs), window, gram)
     hits = None
     for k in range(batches):
         found = log.append(keyed.where(F.pmod(F.col("uid"), F.lit(batches)) == k).select("uid", "text"))
