@@ -152,8 +152,8 @@ class FingerprintLog:
 
     def append(self, texts: DataFrame) -> DataFrame:
         """Index texts (uid, text); returns hits (uid, pos): anchors, of this batch and of earlier ones, that are known to repeat from now on."""
-        new = entries(texts, self.buckets, self.window, self.gram).repartition(self.buckets, "bucket", "kind")
-        new = cut(new)
+        # dealt by bucket once, where the runs are merged
+        new = cut(entries(texts, self.buckets, self.window, self.gram))
         none = self.spark.createDataFrame([], _ENTRY)
         old = none
         for r in self.runs:
@@ -290,7 +290,7 @@ def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: in
         hits = found if hits is None else hits.unionByName(found)
     hot = hits.groupBy("uid").agg(F.collect_set("pos").alias("hot"))
     packed = windows(keyed.join(hot.hint("shuffle_hash"), "uid").select("uid", "text", "hot"), log.buckets, window, gram)
-    sent = cut(packed.repartition(log.buckets, "bucket", "kind"))
+    sent = cut(packed)
     found = sent.where(F.col("kind") == RUN).groupBy("bucket").applyInPandas(_verified, "uid long, first int, n int")
     all_ = found.unionByName(_stretches(sent.where(F.col("kind") == HIT)))
     cover = all_.groupBy("uid").agg(F.collect_set(F.struct("first", "n")).alias("cover"))
