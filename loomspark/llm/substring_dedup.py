@@ -3,7 +3,7 @@
 A window is WINDOW consecutive words. Each window points to one of its GRAM-word fingerprints, the least (leftmost of equals);
 equal windows point to the same one, so only those anchors, one in some fourteen words, enter the index. The index is a log of
 sorted immutable runs in buckets of the fingerprint. A new batch is merge-joined with the runs of its bucket, tells which
-anchors now occur twice (its own and historical ones), and becomes a run itself; FANOUT runs are compacted to one.
+anchors now occur twice (its own and historical ones), and becomes a run itself; FANOUT runs are compacted to one before the next batch.
 Windows of repeated anchors are then verified by a 64-bit hash of their whole word sequence beside the anchor's own 64
 bits, and the words that repeated ones cover are cut.
 
@@ -152,6 +152,8 @@ class FingerprintLog:
 
     def append(self, texts: DataFrame) -> DataFrame:
         """Index texts (uid, text); returns hits (uid, pos): anchors, of this batch and of earlier ones, that are known to repeat from now on."""
+        if len(self.runs) >= self.fanout:
+            self.compact()
         # dealt by bucket once, where the runs are merged
         new = cut(entries(texts, self.buckets, self.window, self.gram))
         none = self.spark.createDataFrame([], _ENTRY)
@@ -161,8 +163,6 @@ class FingerprintLog:
         fresh = new.where(F.col("kind") == RUN)
         merged = cut(fresh.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInPandas(lambda a, b: _merged(a, b) if len(a) else b[:0], _ENTRY))
         self.runs.append(merged.where(F.col("kind") == RUN))
-        if len(self.runs) >= self.fanout:
-            self.compact()
         return self._places(new.where(F.col("kind") == HIT).unionByName(merged.where(F.col("kind") == HIT)))
 
     def compact(self) -> None:
