@@ -1,13 +1,11 @@
 """Embedding near-duplicates: spherical k-means cells, and blocked cosine products within them.
 
 Equal vectors of a label are folded into one representative with its count. Each vector goes to the cell of its nearest
-centroid (there it is at home), and as a guest to every cell whose dividing plane is within reach. A link spans at most
-d = sqrt(2 - 2 cosine), so with a reach of d / 2 one of its ends would always be a guest in the other's cell. In many dimensions
-almost all cells are that near, while a difference rarely points along a plane's normal: in D dimensions its share along it
-has a deviation of 1 / sqrt(D). The reach is SIGMAS of these (d / 2 at most, which is exact: so in up to SIGMAS squared
-dimensions, and wherever there is one cell); tests measure the recall. A cell's own rows meet each other and its guests in blocks of
-BLOCK rows, guests never each other; a pair of blocks gives one row for a vector at most (its links there, and the least id it
-hangs together with), however many links there are.
+centroid (there it is at home), and as a guest to every cell whose dividing plane is within half the largest distance that a link
+can span, d = sqrt(2 - 2 cosine): of two linked vectors in different cells one at least is that close to the plane between them, so
+it is a guest in the other's cell, and no link is lost. In many dimensions almost all cells are that near. A cell's own rows meet
+each other and its guests in blocks of BLOCK rows, guests never each other; a pair of blocks gives one row for a vector at most
+(its links there, and the least id it hangs together with), however many links there are.
 
 Defined results: a vector that is null, empty or zero, or holds a null or non-finite component, or has a null label, links
 with nothing and stands for itself; vectors of different lengths never link; repeated rows link with each other; an empty table gives no rows.
@@ -25,8 +23,6 @@ from loomspark.llm._common import components, cut, prepare
 COSINE = 0.93
 #: Rows that the centroids are fitted on, vectors for each cell and cells at most, rows of a block.
 FIT_ROWS, PER_CELL, CELLS, BLOCK = 8192, 8000, 1024, 1024
-#: Deviations of a link's share along a plane's normal that a guest's reach covers.
-SIGMAS = 4.0
 
 
 def valid(embedding: str = "embedding") -> Column:
@@ -88,13 +84,13 @@ def linked(vectors: DataFrame, cosine: float = COSINE, single: bool = False) ->
     for d in dims:
         rows = vectors.where(F.size("embedding") == d).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("embedding").collect()
         by_dim[d] = centroids(unit([r.embedding for r in rows]), k)
-    half = float(np.sqrt(max(0.0, 2 - 2 * cosine)) / 2)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)) / 2 + 1e-6)
 
     def assign(batches):
         for df in batches:
             for d, part in df.groupby(df["embedding"].map(len)):
                 c = by_dim.get(d, np.ones((1, d)) / np.sqrt(d))
-                home, near = cells_of(unit(part["embedding"].tolist()), c, half * min(1.0, SIGMAS / np.sqrt(d)) + 1e-6)
+                home, near = cells_of(unit(part["embedding"].tolist()), c, reach)
                 raw = [np.asarray(v, kind).tobytes() for v in part["embedding"]]
                 goes = [np.flatnonzero(m).astype(np.int32).tobytes() for m in near]
                 row, cell = np.nonzero(near)

@@ -228,6 +228,26 @@ def test_embedding_recall(spark, monkeypatch):
     assert all(g in ((1, k % 1500), (0, k)) for k, g in got.items()) and sum(n for n, _ in got.values()) >= 0.99 * 3000
 
 
+def test_embedding_families(spark, monkeypatch):
+    """Families whose differences point along the planes between cells: two dense ones at cosine 0.945, and one that varies in two directions. No link is lost."""
+    rng = np.random.default_rng(6)
+    norm = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    q = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    twin = 0.945 * q[0] + np.sqrt(1 - 0.945**2) * q[1]
+    turn = rng.uniform(-0.6, 0.6, (400, 2))
+    v = norm(np.concatenate([q[0] + rng.normal(size=(300, 64)) * 0.002, twin + rng.normal(size=(300, 64)) * 0.002, q[2] + turn @ q[3:5], rng.normal(size=(600, 64))])).astype(np.float32)
+    dots = norm(v.astype(float)) @ norm(v.astype(float)).T
+    adj = dots >= embedding_dedup.COSINE
+    np.fill_diagonal(adj, False)
+    least = np.arange(len(v))
+    while (less := np.minimum(least, np.where(adj, least[None, :], len(v)).min(axis=1))).tolist() != least.tolist():
+        least = less
+    monkeypatch.setattr(embedding_dedup, "PER_CELL", 100)
+    df = spark.createDataFrame([(k, r.tolist(), 1) for k, r in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = sorted(tuple(r) for r in embedding_dedup.groups(df).collect())
+    assert got == [(k, int(adj[k].sum()), int(least[k])) for k in range(len(v))] and adj[:300, 300:600].any()
+
+
 def test_topk(spark):
     table = vectors(spark)
     df = spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").withColumn("score", F.lit(1))
