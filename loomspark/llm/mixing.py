@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Poisson replication.
 
 Each source has a mean repetition rate: its share of the mixture times the mixture's size, over its own size. Each document
-inverts the Poisson distribution with that mean at a uniform number hashed from its id, is exploded by the count, and
-every copy gets a hashed key that says where it stands in the global shuffle.
+inverts the Poisson distribution with that mean at a uniform number hashed from its id (a mean beyond MOST_RATE is dealt over
+several independent numbers, whose counts add up), is exploded by the count, and every copy gets a hashed key that says where
+it stands in the global shuffle.
 
 Defined results: a null source is a source of its own (named ''); a source without a target gets none; null and
 empty texts count as documents; rows that repeat an id repeat its count; an empty table gives no rows.
@@ -17,7 +18,7 @@ from loomspark.llm._common import cut
 
 #: Shares follow size^TEMPERATURE unless they are given.
 TEMPERATURE, SEED = 0.5, 17
-#: A rate is cut at this many repeats of a document; a hashed number has 48 bits.
+#: The mean that one hashed number is inverted at, at most (OP2_SQL inverts one alone, and so cuts rates there); a hashed number has 48 bits.
 MOST_RATE, BITS = 16.0, 48
 #: Sources whose rates are broadcast at most; parts of a source beyond that.
 BROADCAST, SALTS = 10_000, 64
@@ -43,7 +44,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float
     total = n.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
     wanted = F.col("all_n").cast("double") if size is None else F.lit(float(size))
     rate = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * wanted / F.col("n")).otherwise(0.0)
-    return n.join(F.broadcast(total)).select("source_key", "n", F.least(rate, F.lit(MOST_RATE)).alias("rate"))
+    return n.join(F.broadcast(total)).select("source_key", "n", rate.alias("rate"))
 
 
 def poisson(u: Column, rate: Column) -> Column:
@@ -56,6 +57,14 @@ def poisson(u: Column, rate: Column) -> Column:
     return done["k"]
 
 
+def repeats(seed: int, key: Column, rate: Column) -> Column:
+    """A Poisson count of any mean: the sum of as many counts, each of an equal part of it, as keep a part within MOST_RATE."""
+    draws = F.greatest(F.ceil(rate / MOST_RATE), F.lit(1)).cast("int")
+    part = rate / draws
+    more = F.aggregate(F.sequence(F.lit(2), draws), F.lit(0), lambda s, i: s + poisson(uniform(seed, key, i), part))
+    return poisson(uniform(seed, key), part) + F.when(draws > 1, more).otherwise(0)
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs, each row as often as its count says, with _copy (from 0) and _order (hex key of the global shuffle).
 
@@ -68,7 +77,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float |
         salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")
         spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn("_salt", salt).join(spread, ["_source_key", "_salt"]).drop("_salt")
-    counted = joined.withColumn("_times", poisson(uniform(seed, F.col(id_col)), F.col("_rate")))
+    counted = joined.withColumn("_times", repeats(seed, F.col(id_col), F.col("_rate")))
     copies = counted.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_copy").cast("string")).cast("binary"))
     return copies.withColumn("_order", order).drop("_source_key", "_rate", "_times")

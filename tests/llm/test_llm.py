@@ -90,6 +90,17 @@ def test_mixing(spark, docs, none, monkeypatch):
     assert u[0] == pytest.approx(2.5, abs=0.05) and u[1] == pytest.approx(2.5, abs=0.12)
 
 
+def test_mixing_reaches_targets_at_high_rates(spark):
+    """A source that needs each document 50 times, and one that needs its only one 500 times, have their share, and the mixture its size."""
+    table = spark.range(3030).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "big").when(F.col("id") < 3029, "small").otherwise("one").alias("source"))
+    got = {r.source: (r.n, r.ids) for r in mixing.mix(table, {"big": 0.5, "small": 0.4, "one": 0.1}, size=5000.0).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id", "_copy").alias("ids")).collect()}
+    for k, want in {"big": 2500, "small": 2000, "one": 500}.items():
+        assert got[k][0] == got[k][1] == pytest.approx(want, abs=4 * want**0.5)
+    assert sum(n for n, _ in got.values()) == pytest.approx(5000, abs=4 * 5000**0.5)
+    u = spark.range(4000).select(mixing.repeats(1, F.col("id"), F.lit(50.5)).alias("k")).agg(F.avg("k"), F.var_pop("k")).first()
+    assert u[0] == pytest.approx(50.5, abs=0.45) and u[1] == pytest.approx(50.5, abs=4.5)
+
+
 def base_spans(t: str) -> list[tuple[int, int, int]]:
     key = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
     out = [(m.start(), 0, m.end()) for m in re.finditer(rf"({key})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 6]
