@@ -1,10 +1,12 @@
 """Secret scans with a battery of randomness tests, in DataFrame functions alone.
 
-Base patterns find assignments, access keys and hex runs. Beside them, each long run of token characters with a digit is a
-candidate: its encoding is inferred from its characters, and three tests hold it against uniform random symbols of
-that alphabet (chi-squared over eight equal bands, runs about the middle, lag-one serial correlation). The three
-p-values are combined by Bonferroni's bound. Over the whole corpus and within each class of lengths, the
-Benjamini-Hochberg rule at Q decides which candidates are structured; those that it can't call structured are spans of kind `random`.
+Base patterns find assignments, access keys and hex runs. Beside them, each long run of token characters with a digit or
+of mixed case is a candidate: its encoding is inferred from its characters, and three tests hold it against uniform random
+symbols of that alphabet (chi-squared over eight equal bands, runs about the middle, lag-one serial correlation); without a
+digit a fourth one asks whether upper and lower case are as frequent. The p-values are combined by Bonferroni's bound. A run's
+long pieces between slashes are candidates too. Over the whole corpus and within each class of lengths, the
+Benjamini-Hochberg rule at Q decides which candidates are structured; those that it can't call structured are spans of kind
+`random`, pieces where the whole run is structured.
 
 Spans are in code points, end exclusive, and cover the whole match. Defined results: null text is empty; an empty text has no spans;
 repeated rows give the same spans each; very long texts are scanned whole; with no candidates nothing is added.
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Candidates: maximal runs of 20 token characters or more, with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+#: Candidates: maximal runs of 20 token characters or more, with a digit or both cases among them; and the same between slashes.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])|(?=[a-z+/_-]*[A-Z])(?=[A-Z+/_-]*[a-z]))[A-Za-z0-9+/_-]{20,}"
+PIECE = CANDIDATE.replace("/", "")
 KINDS = ("assign", "access", "hex", "random")
 #: Lengths at which classes begin, the false discovery rate, and bands of the chi-squared test.
 CLASSES, Q, BANDS = (20, 28, 40, 56, 80), 0.05, 8
@@ -35,6 +38,7 @@ ENCODINGS = (
     ("^[A-Z2-7]+$", _UPPER + "234567"),
     ("^[0-9a-z]+$", _DIGITS + _LOWER),
     ("^[0-9A-Z]+$", _DIGITS + _UPPER),
+    ("^[A-Za-z]+$", _UPPER + _LOWER),
     ("^[0-9A-Za-z]+$", _DIGITS + _UPPER + _LOWER),
     ("^[0-9A-Za-z_-]+$", _DIGITS + _UPPER + _LOWER + "-_"),
     ("", _DIGITS + _UPPER + _LOWER + "+/-_"),
@@ -76,7 +80,8 @@ def p_random(token: Column) -> Column:
         alphabet = F.when(token.rlike(pattern), F.lit(symbols)).otherwise(alphabet)
     # of one token: its symbols' ranks in the alphabet, their number, and the alphabet's size
     ranks = F.filter(F.transform(F.split(token, ""), lambda c: (F.call_function("locate", c, alphabet) - 1).cast("double")), lambda v: v >= 0)
-    base = F.array(F.struct(ranks.alias("x"), F.length(token).cast("double").alias("n"), F.length(alphabet).cast("double").alias("m")))
+    number = lambda other: F.length(F.regexp_replace(token, other, "")).cast("double")
+    base = F.array(F.struct(ranks.alias("x"), F.length(token).cast("double").alias("n"), F.length(alphabet).cast("double").alias("m"), number("[^A-Z]").alias("upper"), number("[^a-z]").alias("lower"), token.rlike("[0-9]").alias("digit")))
 
     def tests(s: Column) -> Column:
         x, n, m = s["x"], s["n"], s["m"]
@@ -99,28 +104,35 @@ def p_random(token: Column) -> Column:
         ss = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mu) * (v - mu))
         lag = F.aggregate(F.zip_with(x, F.slice(x, 2, F.size(x)), lambda a, b: (a - mu) * (b - mu)), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
         p_serial = F.when(ss <= 0, F.lit(0.0)).otherwise(2 * normal_tail(F.abs((lag / ss + 1 / n) * F.sqrt(n))))
-        return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+        p_case = 2 * normal_tail(F.abs(s["upper"] - s["lower"]) / F.sqrt(s["upper"] + s["lower"]))
+        return F.least(F.lit(1.0), F.when(s["digit"], 3 * F.least(p_chi, p_runs, p_serial)).otherwise(4 * F.least(p_chi, p_runs, p_serial, p_case)))
 
     return F.transform(base, tests)[0]
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, class, step>>: candidates with their class of lengths and the step of their p-value."""
+    """array<struct<start, end, class, step, pieces>>: candidates with their class of lengths and the step of their p-value; pieces are such structs without pieces."""
 
-    def one(c: Column) -> Column:
+    def judged(c: Column, at: Column) -> list[Column]:
         length = c["end"] - c["start"]
         kind = F.lit(0)
         for k, least in enumerate(CLASSES):
             kind = F.when(length >= least, F.lit(k)).otherwise(kind)
         step = F.least(F.floor(-F.log10(F.greatest(p_random(c["value"]), F.lit(1e-16))) * STEPS), F.lit(LAST)).cast("int")
-        return F.struct(c["start"], c["end"], kind.alias("class"), step.alias("step"))
+        return [(at + c["start"]).alias("start"), (at + c["end"]).alias("end"), kind.alias("class"), step.alias("step")]
+
+    def one(c: Column) -> Column:
+        found = F.when(F.contains(c["value"], F.lit("/")), matches(c["value"], PIECE)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+        return F.struct(*judged(c, F.lit(0)), F.transform(found, lambda m: F.struct(*judged(m, c["start"]))).alias("pieces"))
 
     return F.transform(matches(text, CANDIDATE), one)
 
 
 def thresholds(texts: DataFrame) -> dict[int, int]:
     """For each class of lengths the least step at which a candidate counts as structured: Benjamini-Hochberg on counts of all candidates by step."""
-    counts = texts.select(F.explode(candidates(F.col("text"))).alias("c")).groupBy("c.class", "c.step").agg(F.count("*").alias("n")).collect()
+    short = lambda c: F.struct(c["class"].alias("class"), c["step"].alias("step"))
+    each = F.flatten(F.transform(candidates(F.col("text")), lambda c: F.concat(F.array(short(c)), F.transform(c["pieces"], short))))
+    counts = texts.select(F.explode(each).alias("c")).groupBy("c.class", "c.step").agg(F.count("*").alias("n")).collect()
     out = {}
     for k in range(len(CLASSES)):
         by_step = {r.step: r.n for r in counts if r["class"] == k}
@@ -138,7 +150,10 @@ def spans(text: Column, least: dict[int, int]) -> tuple[Column, Column]:
     assigned = F.filter(matches(text, ASSIGN, 2), lambda m: F.length(m["value"]) >= 6)
     base = F.array_sort(F.concat(tagged(0, assigned), tagged(1, matches(text, ACCESS)), tagged(2, matches(text, HEX))))
     limit = F.lit(LAST + 1)
-    return base, F.filter(candidates(text), lambda c: c["step"] < _limit(c["class"], least, limit))
+    random = lambda c: c["step"] < _limit(c["class"], least, limit)
+    place = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))
+    found = F.transform(candidates(text), lambda c: F.when(random(c), F.array(place(c))).otherwise(F.transform(F.filter(c["pieces"], random), place)))
+    return base, F.flatten(found)
 
 
 def _limit(kind: Column, least: dict[int, int], limit: Column) -> Column:

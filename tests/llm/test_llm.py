@@ -122,6 +122,22 @@ def test_secret_scan(spark, docs, none):
     assert sum(r.n for r in found if r.doc_id < len(keys)) >= 0.85 * len(keys) and sum(r.n for r in found if r.doc_id >= len(keys)) == 0
 
 
+def test_secret_scan_without_digits_and_in_paths(spark):
+    """Random keys of letters alone are found at any length, and a key in a path is found between its slashes; names of words are left."""
+    rng = random.Random(5)
+    key = lambda n, more="": "".join(rng.choice(secret_scan._UPPER + secret_scan._LOWER + more) for _ in range(n))
+    words = ["International", "Customer", "Reference", "Transaction", "Configuration", "Listener", "Provider"]
+    letters = [key(n) for n in (20, 24, 40, 80) for _ in range(20)]
+    keys = [key(40, secret_scan._DIGITS) for _ in range(40)]
+    paths = [f"the-green-house/of-the-{a.lower()}/and-the-{b.lower()}/2024/01/some-more-of-the-same/{k}" for k, (a, b) in zip(keys, itertools.product(words, words))]
+    names = [a + b.lower() + c.lower() for a, b, c in itertools.permutations(words, 3)]
+    found = secret_scan.scan(spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate(letters + paths + names)], "doc_id long, text string").repartition(4)).collect()
+    hits = {r.doc_id: {r.text[s["start"] : s["end"]] for s in r._all} for r in found}
+    assert sum(hits[k] == {t} for k, t in enumerate(letters)) >= 0.85 * len(letters)
+    assert sum(hits[len(letters) + k] == {t} for k, t in enumerate(keys)) >= 0.85 * len(keys)
+    assert sum(bool(hits[len(letters) + len(keys) + k]) for k in range(len(names))) <= 0.02 * len(names)
+
+
 def test_substring_dedup(docs, none):
     w = [(i, WORD.findall(t or "")) for i, t in corpus()]
     n = collections.Counter(tuple(x[k : k + 35]) for _, x in w for k in range(len(x) - 34))
