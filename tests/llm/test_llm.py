@@ -150,27 +150,72 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.cut_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("n", [4, 5])
-def test_near_dedup(docs, none, n):
+def near_groups(table, n, percent=80):
+    """(doc_id, set size, component) of every row, by comparing all pairs."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    s = {}
-    for i, t in corpus():
-        x = WORD.findall((t or "").translate(low))
-        s[i] = {tuple(x[k : k + n]) for k in range(max(1, len(x) - n + 1))} if x else set()
-    up = {i: i for i in s}
+    words = [WORD.findall((t or "").translate(low)) for _, t in table]
+    s = [{tuple(x[k : k + n]) for k in range(max(1, len(x) - n + 1))} if x else set() for x in words]
+    up = {i: i for i, _ in table}
     find = lambda x: x if up[x] == x else find(up[x])
-    for a, b in itertools.combinations(s, 2):
-        if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]):
-            x, y = sorted((find(a), find(b)))
+    for (i, a), (j, b) in itertools.combinations(zip([i for i, _ in table], s, strict=True), 2):
+        if i is not None and j is not None and a and b and 100 * len(a & b) >= percent * len(a | b):
+            x, y = sorted((find(i), find(j)))
             up[y] = x
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.groups(docs, n).collect()}
-    assert got == {i: (len(s[i]), find(i)) for i in s}
+    return sorted(((i, len(x), find(i)) for (i, _), x in zip(table, s, strict=True)), key=repr)
+
+
+@pytest.mark.parametrize("n", [4, 5])
+def test_near_dedup(docs, none, n):
+    want = near_groups(corpus(), n)
+    assert sorted((tuple(r) for r in near_dedup.groups(docs, n).collect()), key=repr) == want
     if n == 5:
         kept = near_dedup.keep_one(docs)
-        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in s if find(i) == i}
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, c in want if i == c)
         assert near_dedup.groups(none).count() == 0
 
 
+def test_near_dedup_of_repeated_and_missing_ids(spark):
+    """An id that stands with several texts hangs them together; each row comes out once; rows without an id stay alone."""
+    a, b, c = ("the quick brown fox jumps over a lazy dog", "some other words that have nothing to do with it", "and a third text of its own words here")
+    table = [(3, a), (5, a), (5, b), (9, b), (5, ""), (7, c), (7, c), (8, None), (8, c), (None, a), (None, a), (6, ""), (6, "")]
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumn("_dropped", F.lit(1)).withColumn("id", F.lit(2)).withColumn("key", F.lit("x")).repartition(3)
+    got = sorted((tuple(r) for r in near_dedup.groups(df).collect()), key=repr)
+    assert got == near_groups(table, 5) and {r[2] for r in got if r[0] in (3, 5, 9)} == {3}
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns and sorted([r.doc_id for r in kept.collect()], key=repr) == [3, 6, 6, 7, 7, None, None]
+
+
+def test_near_dedup_finds_pairs_at_the_threshold(spark):
+    """Sets that share exactly four of five shingles: all links are found, and none of pairs just below."""
+    rng = np.random.default_rng(8)
+    table = []
+    for k in range(400):
+        size = int(rng.integers(1, 60)) * 9  # two sets of 9m shingles with 8m in common: 8 of 10
+        words = [f"w{x}" for x in rng.integers(0, 10**9, size + 4)]
+        cut = size // 9 + (k % 2)  # one shingle more lies below
+        table += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[cut:] + [f"v{x}" for x in rng.integers(0, 10**9, cut)]))]
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: c for i, _, c in near_groups_of_pairs(table)} and sum(i != c for i, c in got.items()) == 200
+
+
+def near_groups_of_pairs(table):
+    return [row for k in range(0, len(table), 2) for row in near_groups(table[k : k + 2], 5)]
+
+
+def test_near_dedup_joins_what_stars_leave(spark, monkeypatch):
+    """A chain of small changes in one bucket, where ends are far apart, and blocks of few rows."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = np.random.default_rng(9)
+    words = [f"w{x}" for x in rng.integers(0, 10**9, 60)]
+    table = []
+    for k in range(60):
+        table.append((k, " ".join(words)))
+        words[int(rng.integers(0, 60))] = f"n{k}"
+    table += [(100 + k, " ".join([f"w{x}" for x in rng.integers(0, 10**9, 30)])) for k in range(20)]
+    got = near_dedup.groups(spark.createDataFrame(table, "doc_id long, text string").repartition(4))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == near_groups(table, 5)
+
+
 def test_language_id(spark, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(docs)
