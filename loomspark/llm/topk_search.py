@@ -1,151 +1,315 @@
 """Exact top-k by inner product over a pivot-distance index.
 
-Vectors become integers and are keyed by their nearest pivot and their distance to it; rings of equal width in that
-distance are a pivot's annuli. For a query q and an annulus of pivot p with distances r1..r2 two bounds hold by the
-triangle inequality: q.v <= q.p + |q| r2, and |q - v| >= the gap between |q - p| and [r1, r2], so q.v <= (|q|^2 + max|v|^2 - gap^2) / 2.
-A query first takes the annuli of best bounds, nearest rings first, until they hold enough candidates; its k-th best score
-there then stops it from every annulus whose bound is below. Only pivots and annuli, PIVOTS x RINGS rows at most, are broadcast; queries and
-vectors meet in blocks.
+Vectors become integers. Each is keyed by its nearest home pivot and its distance to it; annuli of equal counts around a home
+are its cells. A cell knows, for every pivot, the least and largest distance of its vectors, and their largest norm. For a
+query q three bounds hold for all v of a cell: q.v <= |q| |v|; q.v = q.p + q.(v - p) <= q.p + |q| |v - p| for each pivot p; and by the triangle
+inequality |q - v| >= the gap between |q - p| and the cell's distances to p, so q.v <= (|q|^2 + |v|^2 - gap^2) / 2 with the largest
+gap over all pivots. A query first expands the cells of best bounds until they hold enough candidates; its k-th best
+score there then stops it from every cell whose bound is below.
+
+Queries are dealt into blocks by their home, so that those of a block want the same cells; a cell's vectors are sent
+to the blocks that want it, and to no others. Pivots and cells, of bounded number, are on the driver. The index prunes what has
+structure (share_visited() tells how much is compared); in many dimensions, vectors without any are compared with nearly all.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; an empty or zero vector scores
-0; vectors of different lengths are compared as if padded with zeros; repeated rows are candidates each, but never of their own id;
-an empty table gives no rows.
+0; vectors of different lengths are compared as if padded with zeros; repeated rows are candidates each, but never of their own id,
+and an id that repeats among the queries asks with its least vector (by bytes); ties go to the smaller id; components of any finite size
+are compared exactly, and a score beyond a long is returned as the nearest long; an empty table gives no rows. Ids are integers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import cut, prepare
+from loomspark.llm._common import binaries, cut, prepare, utf8
 
 K, EVERY, SCALE = 10, 100, 1024
-#: Rows the pivots are drawn from, pivots at most, annuli of each, rows of a block.
-FIT_ROWS, PIVOTS, RINGS, BLOCK = 2048, 64, 16, 4096
+#: Rows the pivots are drawn from, pivots, rows of a cell (until CELLS are reached), vectors and queries of a block.
+FIT_ROWS, PIVOTS, CELL, CELLS, BLOCK, QUERIES = 4096, 64, 512, 4096, 16384, 4096
+#: Vectors with a larger integer are in no annulus: every query meets them, and they meet every cell.
+VAST = 2.0**400
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.floor(SCALE * x.astype(np.float64))
+
+
+def exact(x: np.ndarray) -> list[int]:
+    return [int(v) if np.isfinite(v) else SCALE * int(r) for v, r in zip(whole(x), x, strict=True)]
+
+
+def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Exact inner products of the integers of raw vectors: doubles where no sum can pass 2^53, else 64-bit integers, else Python's."""
+    a, b = whole(q), whole(v)
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if most < 2**53:
+        return a @ b.T
+    if most < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    right = [exact(y) for y in v]
+    out = np.empty((len(q), len(v)), object)
+    for i, x in enumerate(q):
+        left = exact(x)
+        out[i] = [sum(m * n for m, n in zip(left, y, strict=True)) for y in right]
+    return out
 
 
-def integers(rows: list, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width))
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = np.floor(SCALE * np.asarray(r, np.float64))
+def beyond(score: int) -> bytes | None:
+    """Of a score beyond a long, bytes that sort as the scores do, around b"\\x01" for those within."""
+    if LEAST <= score <= MOST:
+        return None
+    size = abs(score).bit_length() // 8 + 1
+    raw = size.to_bytes(8, "big") + abs(score).to_bytes(size, "big")
+    return b"\x02" + raw if score > 0 else b"\x00" + bytes(255 - c for c in raw)
+
+
+def rows_of(array: pa.Array, kind: np.dtype, width: int) -> np.ndarray:
+    """Vectors of `width` numbers, one binary each, as a matrix; no copy."""
+    data, off = utf8(array)
+    return data[off[0] : off[-1]].view(kind).reshape(len(off) - 1, width)
+
+
+def padded(lists: pa.Array, kind: np.dtype, width: int) -> np.ndarray:
+    off = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    size = np.diff(off)
+    out = np.zeros((len(size), width), kind)
+    inside = np.arange(width) < size[:, None]
+    out[inside] = flat[off[0] : off[-1]]
     return out
 
 
-def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact integer products: in doubles where no sum can pass 2^53, in Python's integers elsewhere."""
-    if q.size and v.size and float(np.abs(q).max()) * float(np.abs(v).max()) * q.shape[1] < 2**53:
-        return (q @ v.T).astype(np.int64)
-    return np.array([[int(sum(int(a) * int(b) for a, b in zip(x, y, strict=True))) for y in v] for x in q], np.int64).reshape(len(q), len(v))
+def spread(sample: np.ndarray, n: int, seed: int = 9) -> np.ndarray:
+    """Pivots drawn one after another, each in proportion to the squared distance from those before."""
+    rng = np.random.default_rng(seed)
+    out = [sample[int(rng.integers(len(sample)))]]
+    apart = ((sample - out[0]) ** 2).sum(axis=1)
+    while len(out) < n and (total := apart.sum()) > 0:
+        out.append(sample[min(int(np.searchsorted(np.cumsum(apart), rng.random() * total, "right")), len(sample) - 1)])
+        apart = np.minimum(apart, ((sample - out[-1]) ** 2).sum(axis=1))
+    return np.array(out)
+
+
+class Index:
+    """Stored vectors (id, cell, x) and, of each cell, the number of its rows and the bounds of its distances and norms."""
+
+    def __init__(self, table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+        self.spark = table.sparkSession
+        prepare(self.spark)
+        self.kind = kind = np.dtype(np.float32 if table.select(vec_col).dtypes[0][1] == "array<float>" else np.float64)
+        rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>" if kind == np.float32 else "array<double>").alias("v"))
+        rows = rows.where(F.col("v").isNotNull() & F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+        width, n = rows.agg(F.max(F.size("v")), F.count("*")).first()
+        self.width = width = max(1, width or 1)
+        drawn = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select(F.col("v").cast("array<double>").alias("v")).toArrow()["v"]
+        sample = whole(np.concatenate([padded(c, np.dtype(float), width) for c in drawn.chunks]) if len(drawn) else np.zeros((1, width)))
+        sample = sample[np.abs(sample).max(axis=1) <= VAST]
+        self.pivots = pivots = spread(sample if len(sample) else np.zeros((1, width)), PIVOTS)
+        cells = min(CELLS, max(1, n // CELL))
+        rings = max(1, round(cells**0.5))
+        homes = pivots[: max(1, -(-cells // rings))]
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = padded(b["v"], kind, width)
+                v = whole(x)
+                vast = np.abs(v).max(axis=1) > VAST
+                v[vast] = 0
+                home = ((homes * homes).sum(axis=1) - 2 * v @ homes.T).argmin(axis=1).astype(np.int32)
+                r = np.where(vast, 0, np.linalg.norm(v - homes[home], axis=1))
+                yield pa.RecordBatch.from_arrays([b["id"], pa.array(np.where(vast, -1, home).astype(np.int32)), pa.array(r), binaries([a.tobytes() for a in x])], ["id", "home", "r", "x"])
+
+        placed = cut(rows.mapInArrow(place, "id long, home int, r double, x binary"))
+        at = [k / rings for k in range(1, rings)]
+        edges = {r.home: r.e for r in placed.groupBy("home").agg(F.percentile_approx("r", at, 10000).alias("e")).collect()} if at else {}
+        ring = F.lit(0)
+        if edges:
+            known = F.create_map(*[F.lit(z) for h, e in edges.items() for z in (h, e)])
+            ring = F.size(F.filter(known[F.col("home")], lambda e: e < F.col("r")))
+        self.rows = placed.select("id", F.when(F.col("home") < 0, -1).otherwise(F.col("home") * rings + ring).cast("int").alias("cell"), "home", "x")
+        self._measure()
 
+    def _measure(self) -> None:
+        pivots, kind, width = self.pivots, self.kind, self.width
+        many = len(pivots)
 
-class Annuli:
-    """Pivots and, for each annulus, its pivot, least and largest distance, largest norm and number of rows."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {}
+            for b in batches:
+                cell = b["cell"].to_numpy()
+                v = whole(rows_of(b["x"], kind, width))
+                v[cell < 0] = 0
+                for c in np.unique(cell).tolist():
+                    some = v[cell == c]
+                    d = distances(some, pivots)
+                    lo, hi, norm, n = held.get(c, (np.inf, -np.inf, 0.0, 0))
+                    held[c] = [np.minimum(lo, d.min(axis=0)), np.maximum(hi, d.max(axis=0)), max(norm, float(np.linalg.norm(some, axis=1).max())), n + len(some)]
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), binaries([h[0].tobytes() for h in held.values()]), binaries([h[1].tobytes() for h in held.values()]), pa.array([h[2] for h in held.values()], pa.float64()), pa.array([h[3] for h in held.values()], pa.int64())], ["cell", "lo", "hi", "norm", "n"])
 
-    def __init__(self, pivots: np.ndarray, width: float) -> None:
-        self.pivots, self.width = pivots, width
-        self.rows = np.zeros((0, 6))
+        def merge(t: pa.Table) -> pa.Table:
+            lo, hi = (np.array([np.frombuffer(x) for x in t[c].to_pylist()]).reshape(-1, many) for c in ("lo", "hi"))
+            return pa.table({"cell": t["cell"].slice(0, 1), "lo": binaries([lo.min(axis=0).tobytes()]), "hi": binaries([hi.max(axis=0).tobytes()]), "norm": [max(t["norm"].to_pylist())], "n": [sum(t["n"].to_pylist())]})
 
-    def key(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = np.sqrt(np.maximum(((v[:, None, :] - self.pivots[None]) ** 2).sum(axis=2), 0)) if len(v) < 64 else np.sqrt(np.maximum((v * v).sum(1)[:, None] + (self.pivots**2).sum(1) - 2 * v @ self.pivots.T, 0))
-        near = d.argmin(axis=1)
-        r = np.linalg.norm(v - self.pivots[near], axis=1)
-        return near * RINGS + np.minimum(r // self.width, RINGS - 1).astype(np.int64), r
+        kinds = "cell int, lo binary, hi binary, norm double, n long"
+        found = self.rows.select("cell", "x").mapInArrow(run, kinds).groupBy("cell").applyInArrow(merge, kinds).orderBy("cell").collect()
+        self.cell = np.array([r.cell for r in found], np.int64)
+        self.n = np.array([r.n for r in found], np.int64)
+        self.norm = np.array([r.norm for r in found], float)
+        self.lo, self.hi = (np.array([np.frombuffer(bytes(r[c])) for r in found]).reshape(-1, many) for c in ("lo", "hi"))
 
-    def bounds(self, q: np.ndarray) -> np.ndarray:
-        p, lo, hi, norm = self.rows[:, 1].astype(int), self.rows[:, 2], self.rows[:, 3], self.rows[:, 4]
+    def bounds(self, raw: np.ndarray) -> np.ndarray:
+        """For each query and cell, what no inner product there exceeds."""
+        q = whole(raw)
+        vast = np.abs(q).max(axis=1, initial=0) > VAST
+        q[vast] = 0
         size = np.linalg.norm(q, axis=1)[:, None]
-        d = np.linalg.norm(q[:, None, :] - self.pivots[None], axis=2)[:, p]
-        gap = np.maximum(0, np.maximum(d - hi, lo - d))
-        by_norm = (size**2 + norm**2 - gap**2) / 2
-        by_pivot = (q @ self.pivots.T)[:, p] + size * hi
-        return np.minimum(by_norm, by_pivot) * (1 + 1e-9) + 1
+        d, dots = distances(q, self.pivots), q @ self.pivots.T
+        gap = np.zeros((len(q), len(self.cell)))
+        least = size * self.norm
+        for j in range(len(self.pivots)):
+            gap = np.maximum(gap, np.maximum(d[:, j, None] - self.hi[:, j], self.lo[:, j] - d[:, j, None]))
+            least = np.minimum(least, dots[:, j, None] + size * self.hi[:, j])
+        squares = size**2 + self.norm**2
+        out = np.minimum(least, (squares - gap**2) / 2) + 1e-9 * (squares + size * self.hi.max(axis=1, initial=0)) + 1
+        out[:, self.cell < 0] = np.inf
+        out[vast] = np.inf
+        return out
 
+    def opening(self, bound: np.ndarray, k: int) -> np.ndarray:
+        """Mask of the cells that a query expands first: those of best bounds, until they hold some times k candidates."""
+        order = np.argsort(-bound, axis=1, kind="stable")
+        held = np.cumsum(self.n[order], axis=1) - self.n[order]
+        out = np.zeros(bound.shape, bool)
+        np.put_along_axis(out, order, held < 4 * (k + 1), axis=1)
+        return out
 
-def search(table: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by `every` the k best others."""
-    spark = table.sparkSession
-    prepare(spark)
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = rows.where(F.col("v").isNotNull() & F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
-    drawn = integers([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()], width)
-    pivots = np.unique(drawn, axis=0) if len(drawn) else np.zeros((1, width))
-    pivots = pivots[np.linspace(0, len(pivots) - 1, min(PIVOTS, len(pivots))).astype(int)]
-    index = Annuli(pivots, 1.0)
-    if len(drawn):
-        index.width = max(1.0, float(index.key(drawn)[1].max()) * 1.1 / RINGS)
-
-    def place(batches):
-        for df in batches:
-            v = integers(df["v"].tolist(), width)
-            cell, r = index.key(v)
-            yield pd.DataFrame({"id": df["id"], "cell": cell, "r": r, "norm": np.linalg.norm(v, axis=1), "x": [a.tobytes() for a in v]})
-
-    held = cut(rows.mapInPandas(place, "id long, cell long, r double, norm double, x binary"))
-    table_ = held.groupBy("cell").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("norm").alias("norm"), F.count("*").alias("n")).orderBy("cell").collect()
-    index.rows = np.array([(r.cell, r.cell // RINGS, r.lo - 1e-6, r.hi + 1e-6, r.norm, r.n) for r in table_]).reshape(-1, 6)
-    blocks = {int(r.cell): -(-r.n // BLOCK) for r in table_}
-    queries = held.where(F.col("id") % every == 0).select(F.col("id").alias("q"), F.col("x").alias("qx"))
-    queries_in = -(-queries.count() // BLOCK)
-
-    def meet(wanted: DataFrame) -> DataFrame:
-        """wanted: q, qx, cell. Each query's k best in each block of its annuli: q, id, score."""
-        sizes = F.create_map(*[F.lit(z) for kv in blocks.items() for z in kv]) if blocks else F.create_map(F.lit(-1), F.lit(1))
-        subs = F.coalesce(sizes[F.col("cell").cast("int")], F.lit(1))
-        left = wanted.withColumn("sub", F.explode(F.sequence(F.lit(0), subs - 1))).withColumn("part", F.pmod(F.xxhash64("q"), F.lit(queries_in or 1)).cast("int"))
-        right = held.withColumn("sub", F.pmod(F.xxhash64("id"), subs).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((queries_in or 1) - 1)))).select("cell", "sub", "part", "id", "x")
-
-        def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            out = []
+    def queries(self, every: int) -> DataFrame:
+        """q, qx, block: queries dealt by home, so that a block holds QUERIES or so."""
+        asked = self.rows.where(F.col("id") % every == 0).groupBy(F.col("id").alias("q")).agg(F.min(F.struct("x", "home")).alias("m")).select("q", F.col("m.x").alias("qx"), F.col("m.home").alias("home"))
+        asked = cut(asked)
+        first, blocks, at = [], [], 0
+        for r in asked.groupBy("home").agg(F.count("*").alias("n")).orderBy("home").collect():
+            first.append((r.home, at // QUERIES, max(1, -(-r.n // QUERIES))))
+            blocks.append(r.n)
+            at += r.n if r.n < QUERIES else -(-(at + r.n) // QUERIES) * QUERIES - at
+        if not first:
+            return asked.select("q", "qx", F.lit(0).alias("block"))
+        begin, parts = (F.create_map(*[F.lit(z) for f in first for z in (f[0], f[k])])[F.col("home")] for k in (1, 2))
+        return asked.select("q", "qx", (begin + F.pmod(F.xxhash64("q"), parts)).cast("int").alias("block"))
+
+    def wanted(self, queries: DataFrame, k: int, rest: bool) -> DataFrame:
+        """q, qx, block, floor, cell: the cells that each query opens with, or with `rest` those that its floor leaves beside them."""
+        kind, width = self.kind, self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    some = b.slice(lo, 256)
+                    bound = self.bounds(rows_of(some["qx"], kind, width))
+                    go = self.opening(bound, k)
+                    if rest:
+                        floor = some["floor"].cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False).copy()
+                        floor[floor <= LEAST] = -np.inf
+                        go = ~go & (bound >= floor[:, None] - 1e-12 * np.abs(np.maximum(floor, LEAST))[:, None])
+                    r, c = np.nonzero(go)
+                    yield pa.RecordBatch.from_arrays([*[some[x].take(pa.array(r)) for x in ("q", "qx", "block", "floor")], pa.array(self.cell[c].astype(np.int32))], ["q", "qx", "block", "floor", "cell"])
+
+        # the closure goes to the workers without session and tables
+        held = (self.spark, self.rows)
+        self.spark = self.rows = None
+        try:
+            return queries.select("q", "qx", "block", "floor").mapInArrow(run, "q long, qx binary, block int, floor long, cell int")
+        finally:
+            self.spark, self.rows = held
+
+    def meet(self, wanted: DataFrame, k: int) -> DataFrame:
+        """Each query's k best, not below its floor, in each block of its cells: q, id, score, beyond."""
+        kind, width = self.kind, self.width
+        parts = {int(c): int(-(-n // BLOCK)) for c, n in zip(self.cell, self.n, strict=True)}
+        subs = F.coalesce(F.create_map(*[F.lit(z) for kv in parts.items() for z in kv])[F.col("cell")], F.lit(1)) if parts else F.lit(1)
+        left = wanted.withColumn("sub", F.explode(F.sequence(F.lit(0), subs - 1)))
+        asked = left.groupBy("cell", "sub").agg(F.collect_set("block").alias("blocks"))
+        right = self.rows.withColumn("sub", F.pmod(F.xxhash64("id"), subs).cast("int")).join(asked, ["cell", "sub"]).select("cell", "sub", F.explode("blocks").alias("block"), "id", "x")
+
+        def best(a: pa.Table, b: pa.Table) -> pa.Table:
+            out: list[tuple[np.ndarray, ...]] = []
+            rare: list[bytes | None] = []
             if len(a) and len(b):
                 ids = b["id"].to_numpy()
                 order = np.argsort(ids, kind="stable")
-                ids, v = ids[order], np.stack([np.frombuffer(x) for x in b["x"]])[order]
-                qs = a["q"].to_numpy()
-                for lo in range(0, len(a), 512):
-                    q = np.stack([np.frombuffer(x) for x in a["qx"].iloc[lo : lo + 512]])
-                    for one, s in zip(qs[lo : lo + 512], products(q, v), strict=True):
-                        ok = np.flatnonzero(ids != one)
-                        top = ok[np.argsort(-s[ok], kind="stable")[:k]]
-                        out.append(pd.DataFrame({"q": one, "id": ids[top], "score": s[top]}))
-            return pd.concat(out) if out else pd.DataFrame({"q": [], "id": [], "score": []}).astype("int64")
-
-        return left.groupBy("cell", "sub", "part").cogroup(right.groupBy("cell", "sub", "part")).applyInPandas(best, "q long, id long, score long")
-
-    def first_rings(batches):
-        for df in batches:
-            q = np.stack([np.frombuffer(x) for x in df["qx"]]) if len(df) else np.zeros((0, width))
-            if not len(df):
-                continue
-            order = np.argsort(-index.bounds(q), axis=1, kind="stable")
-            held_by = np.cumsum(index.rows[:, 5][order], axis=1)
-            take = (held_by - index.rows[:, 5][order]) < 4 * (k + 1)
-            r, c = np.nonzero(take)
-            yield pd.DataFrame({"q": df["q"].to_numpy()[r], "qx": df["qx"].to_numpy()[r], "cell": index.rows[order[r, c], 0].astype(np.int64)})
-
-    def rest(batches):
-        for df in batches:
-            if not len(df):
-                continue
-            q = np.stack([np.frombuffer(x) for x in df["qx"]])
-            bound = index.bounds(q)
-            order = np.argsort(-bound, axis=1, kind="stable")
-            held_by = np.cumsum(index.rows[:, 5][order], axis=1)
-            done = np.zeros(bound.shape, bool)
-            np.put_along_axis(done, order, (held_by - index.rows[:, 5][order]) < 4 * (k + 1), axis=1)
-            floor = df["floor"].to_numpy(dtype=np.float64, na_value=-np.inf)
-            r, c = np.nonzero(~done & (bound >= floor[:, None]))
-            yield pd.DataFrame({"q": df["q"].to_numpy()[r], "qx": df["qx"].to_numpy()[r], "cell": index.rows[c, 0].astype(np.int64)})
-
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    queries = queries.dropDuplicates(["q"])
-    begun = cut(meet(queries.mapInPandas(first_rings, "q long, qx binary, cell long")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-    floors = begun.where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
-    more = meet(queries.join(floors, "q", "left").mapInPandas(rest, "q long, qx binary, cell long"))
-    all_ = begun.select("q", "id", "score").unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return all_.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+                ids, v = ids[order], rows_of(b["x"], kind, width)[order]
+                qs, x = a["q"].to_numpy(), rows_of(a["qx"], kind, width)
+                floors = a["floor"].fill_null(LEAST).to_numpy()
+                for lo in range(0, len(qs), 256):
+                    q = qs[lo : lo + 256]
+                    s = scores(x[lo : lo + 256], v)
+                    floor = floors[lo : lo + 256]
+                    go = ((s >= floor[:, None]) | (floor == LEAST)[:, None]) & (ids != q[:, None])
+                    if s.dtype != object and len(ids) > k + 1 and np.count_nonzero(go) > 64 * k * len(q):
+                        # own rows may be among the best, and are beside them
+                        own = int((ids == q[:, None]).sum(axis=1).max())
+                        top = min(len(ids), k + own)
+                        go &= s >= np.partition(s, len(ids) - top, axis=1)[:, [len(ids) - top]]
+                    r, c = np.nonzero(go)
+                    if s.dtype == object:
+                        ranked = np.array(sorted(range(len(r)), key=lambda z: (r[z], -s[r[z], c[z]], c[z])), np.int64)
+                    else:
+                        ranked = np.lexsort((c, -s[r, c], r))
+                    r, c = r[ranked], c[ranked]
+                    nth = np.arange(len(r)) - np.searchsorted(r, r, "left")
+                    r, c = r[nth < k], c[nth < k]
+                    value = s[r, c]
+                    if s.dtype == object:
+                        rare += [beyond(z) for z in value]
+                        value = np.array([min(max(z, LEAST), MOST) for z in value], np.int64)
+                    else:
+                        rare += [None] * len(r)
+                    out.append((q[r], ids[c], value.astype(np.int64)))
+            cols = [np.concatenate(z) for z in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+            return pa.table([*map(pa.array, cols), pa.array(rare, pa.binary())], ["q", "id", "score", "beyond"])
+
+        keys = ["cell", "sub", "block"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "q long, id long, score long, beyond binary")
+
+    def search(self, k: int = K, every: int = EVERY) -> tuple[DataFrame, DataFrame]:
+        """The k best of each query, and how many rows each compared: (q, id, score, rank) and (q, compared)."""
+        order = Window.partitionBy("q").orderBy(F.desc("score"), F.desc(F.coalesce("beyond", F.lit(b"\x01"))), "id")
+        top = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        queries = self.queries(every).withColumn("floor", F.lit(None).cast("long"))
+        first = self.wanted(queries, k, False)
+        begun = cut(top(self.meet(first, k)))
+        floors = begun.where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
+        then = self.wanted(queries.drop("floor").join(floors, "q", "left"), k, True)
+        found = top(begun.drop("rank").unionByName(self.meet(then, k)))
+        return found, first.unionByName(then).groupBy("q").agg(F.sum(self._count(F.col("cell"))).alias("compared"))
+
+    def _count(self, cell: Column) -> Column:
+        return F.create_map(*[F.lit(int(z)) for kv in [*zip(self.cell, self.n, strict=True), (-2, 0)] for z in kv])[cell]
+
+
+def distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.stack([np.linalg.norm(v - p, axis=1) for p in pivots], axis=1)
+
+
+def search(table: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose id is divisible by `every` the k best others."""
+    found, _ = Index(table, id_col, vec_col).search(k, every)
+    return found.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+def share_visited(table: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding") -> float:
+    """The share of all pairs of query and row that a search compares."""
+    index = Index(table, id_col, vec_col)
+    n, done = index.search(k, every)[1].agg(F.count("*"), F.sum("compared")).first()
+    return float(done or 0) / max(1, n * int(index.n.sum()))
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

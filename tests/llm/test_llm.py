@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import collections
 import itertools
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -320,13 +322,53 @@ def test_embedding_families(spark, monkeypatch):
     assert got == [(k, int(adj[k].sum()), int(least[k])) for k in range(len(v))] and adj[:300, 300:600].any()
 
 
+def top_rows(table, every=100, k=10):
+    """Exact answers in Python's integers; scores are kept within a long."""
+    ok = [(i, [math.floor(1024 * Fraction(float(x))) for x in v]) for i, v in table if v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    width = max((len(v) for _, v in ok), default=0)
+    ok = [(i, v + [0] * (width - len(v))) for i, v in ok]
+    out = []
+    for q, x in ok:
+        if q % every == 0:
+            best = sorted(((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in ok if i != q))[:k]
+            out += [(q, r, i, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, i) in enumerate(best, 1)]
+    return sorted(set(out))
+
+
 def test_topk(spark):
     table = vectors(spark)
-    df = spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").withColumn("score", F.lit(1))
-    ok = [(i, np.floor(1024 * np.array([*v, *[0] * (8 - len(v))], float)).astype(int)) for i, v, _ in table if v is not None and all(c is not None and np.isfinite(c) for c in v)]
-    want = {(q, r, i, s) for q, x in ok if q % 100 == 0 for r, (s, i) in enumerate(sorted(((-int(x @ y), i) for i, y in ok if i != q))[:10], 1) for s in [-s]}
-    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.search(df).collect()}
-    assert got == want and topk_search.search(df.limit(0)).count() == 0
+    df = spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").withColumn("score", F.lit(1)).withColumn("cell", F.lit("x"))
+    got = sorted(tuple(r) for r in topk_search.search(df).collect())
+    assert got == top_rows([(i, v) for i, v, _ in table]) and topk_search.search(df.limit(0)).count() == 0
+
+
+def test_topk_of_any_size(spark, monkeypatch):
+    """Huge and vast components, scores beyond a long, different lengths, and ties over several blocks, cells and query blocks."""
+    rng = np.random.default_rng(3)
+    v = [r.tolist() for r in rng.normal(size=(600, 6))]
+    for k in range(300, 420):
+        v[k] = v[300]
+    v[7], v[8], v[100], v[200], v[9], v[10], v[500] = [1e30, 2.0], [-1e30, 1.0], [1e30] * 6, [3e150, -1e160], [1.7e308] * 6, [1e12] * 6, [-1.7e308] * 6
+    for name, size in (("CELL", 20), ("BLOCK", 16), ("QUERIES", 4)):
+        monkeypatch.setattr(topk_search, name, size)
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(tuple(r) for r in topk_search.search(df, every=25).collect()) == top_rows(list(enumerate(v)), 25)
+
+
+def test_topk_index_prunes(spark, monkeypatch):
+    """Of vectors in groups a query compares a part; the answers stay exact."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 32))
+    v = (centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 32)) * 0.05).astype(np.float32)
+    monkeypatch.setattr(topk_search, "CELL", 100)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    x = np.floor(1024 * v.astype(float))
+    s = x[::100] @ x.T
+    s[np.arange(80), np.arange(0, 8000, 100)] = -np.inf
+    top = np.argsort(-s, axis=1, kind="stable")[:, :10]
+    want = sorted((100 * q, r + 1, int(i), int(s[q, i])) for q in range(80) for r, i in enumerate(top[q]))
+    assert sorted(tuple(r) for r in topk_search.search(df).collect()) == want
+    assert topk_search.share_visited(df) < 0.2
 
 
 def test_chat_events(spark):
