@@ -286,6 +286,36 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.groups(df.limit(0)).count() == 0
 
 
+def cosine_groups(table):
+    """(id, links, component) of every row, by comparing all pairs."""
+    ok = [k for k, (i, v, y) in enumerate(table) if i is not None and v and y is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    links, up = collections.Counter(), {r[0]: r[0] for r in table}
+    find = lambda x: x if up[x] == x else find(up[x])
+    for a, b in itertools.combinations(ok, 2):
+        x, y = np.array(table[a][1], float), np.array(table[b][1], float)
+        if table[a][2] == table[b][2] and len(x) == len(y) and x @ y >= 0.93 * np.linalg.norm(x) * np.linalg.norm(y):
+            links.update((a, b))
+            i, j = sorted((find(table[a][0]), find(table[b][0])))
+            up[j] = i
+    return sorted(((r[0], links[k], find(r[0])) for k, r in enumerate(table)), key=repr)
+
+
+@pytest.mark.parametrize("labels", ["int", "double", "string"])
+def test_embedding_dedup_of_odd_rows(spark, monkeypatch, labels):
+    """Lengths that mix under a label, labels of other types, ids that repeat with other vectors or labels, missing ids."""
+    rng = np.random.default_rng(5)
+    name = {"int": lambda k: k, "double": lambda k: 1.2 + k / 2, "string": lambda k: f"label {k}"}[labels]
+    table = []
+    for k in range(60):
+        v = rng.normal(size=(3, 8, 4104)[k % 3]) if k < 30 else np.array(table[k - 30][1]) * rng.uniform(0.9, 1.1)
+        table.append((k % 50, [float(x) for x in v], name(k % 2)))
+    table += [(None, table[0][1], name(0)), (None, table[1][1], None), (70, table[2][1], None), (71, [], name(0)), (71, table[3][1], name(1)), (3, table[4][1], name(0))]
+    df = spark.createDataFrame(table, f"vec_id long, embedding array<double>, label {labels}").withColumn("id", F.lit(1)).withColumn("grp", F.lit(2)).repartition(3)
+    for monkeypatch_cell in (embedding_dedup.PER_CELL, 4):
+        monkeypatch.setattr(embedding_dedup, "PER_CELL", monkeypatch_cell)
+        assert sorted((tuple(r) for r in embedding_dedup.groups(df).collect()), key=repr) == cosine_groups(table)
+
+
 def test_embedding_recall(spark, monkeypatch):
     """Links as far apart as they may be, in random directions, over many cells: none but a few in a thousand is lost, none is made up."""
     rng = np.random.default_rng(4)
