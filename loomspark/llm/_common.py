@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,40 +16,56 @@ from pyspark.sql import functions as F
 
 from loomspark.session import ship
 
-#: Rows of one Arrow batch: texts average a few kB, so a batch stays in the tens of MB.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch, whichever is reached first.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 #: Bytes of text that numpy works on at a time.
 SLICE = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder under spark.checkpoint.dir for this session; a temporary one only where that is unset, as in tests."""
+    """A folder under spark.checkpoint.dir for this session. Where that is unset: a temporary one on a local master, an error on a cluster, whose executors couldn't share it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = Path(tempfile.gettempdir(), "loomspark-checkpoints").as_uri()
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors cost nothing.
 
-    The table goes when the session's file system closes."""
+    The table goes with drop(), or else when the session's file system closes."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, fs = _at(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomspark_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that cut() has written, once nothing reads them any more."""
+    for t in tables:
+        where, fs = _at(t.sparkSession, t._loomspark_path)
+        fs.delete(where, True)
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and bound their Arrow batches."""
+    """Let Python workers import this package, and bound the session's Arrow batches; smaller bounds that are set stay."""
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def parts(spark: SparkSession) -> int:
@@ -56,13 +73,13 @@ def parts(spark: SparkSession) -> int:
 
 
 def buckets_for(texts: DataFrame, text_col: str = "text", each: int = 16 << 20) -> int:
-    """As many buckets as leave `each` bytes of text to one, and at least as many as there are shuffle partitions."""
+    """As many buckets as leave `each` bytes of text to one, and at least several for each shuffle partition, which evens them out."""
     size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(parts(texts.sparkSession), 16, -(-size // each))
+    return max(4 * parts(texts.sparkSession), 64, -(-size // each))
 
 
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Just the id (as long) and the text (null: empty); whatever else the table has can't clash with what is added."""
+    """Just the id (as long; ids are integers) and the text (null: empty); whatever else the table has can't clash with what is added."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

@@ -140,18 +140,61 @@ def test_secret_scan_without_digits_and_in_paths(spark):
     assert sum(bool(hits[len(letters) + len(keys) + k]) for k in range(len(names))) <= 0.02 * len(names)
 
 
-def test_substring_dedup(docs, none):
-    w = [(i, WORD.findall(t or "")) for i, t in corpus()]
+def repeats_cut(table):
+    """(doc_id, words, removed, kept) of every row, from a count of all windows."""
+    w = [(i, WORD.findall(t or "")) for i, t in table]
     n = collections.Counter(tuple(x[k : k + 35]) for _, x in w for k in range(len(x) - 34))
     want = []
     for i, x in w:
         gone = {j for k in range(len(x) - 34) if n[tuple(x[k : k + 35])] > 1 for j in range(k, k + 35)}
         want.append((i, len(x), len(gone), " ".join(a for k, a in enumerate(x) if k not in gone)))
+    return sorted(want, key=repr)
+
+
+def test_substring_dedup(docs, none):
     for batches in (1, 4):
-        assert sorted(tuple(r) for r in substring_dedup.cut_repeats(docs, batches=batches).collect()) == sorted(want)
+        assert sorted((tuple(r) for r in substring_dedup.cut_repeats(docs, batches=batches).collect()), key=repr) == repeats_cut(corpus())
     assert substring_dedup.cut_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_a_popular_passage(spark, monkeypatch):
+    """A passage in ever different surroundings fills buckets that are dealt again; ids that are missing or repeat are documents too."""
+    monkeypatch.setattr(substring_dedup, "HOT", 1)
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = text(50)
+    table = [(k if k % 5 else None if k % 2 else 3, f"{text(40)} {passage} {text(40)}") for k in range(120)]
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumn("uid", F.lit("x")).withColumn("cover", F.lit(1)).repartition(4)
+    assert sorted((tuple(r) for r in substring_dedup.cut_repeats(df).collect()), key=repr) == repeats_cut(table)
+
+
+def test_documents_of_one_hash_keep_their_words(docs, monkeypatch):
+    """Where 64 bits can't tell documents apart, 128 do: all documents here have the same first half."""
+    monkeypatch.setattr(substring_dedup, "uids", lambda: (F.lit(-1).cast("long").alias("uid"), F.xxhash64("text", "doc_id").alias("uid2")))
+    assert sorted((tuple(r) for r in substring_dedup.cut_repeats(docs).collect()), key=repr) == repeats_cut(corpus())
+
+
+def test_index_outlives_a_session(docs, spark, tmp_path):
+    """Batches of two sessions and a compaction find what one session finds; the runs are sorted, and other windows are refused."""
+    keyed = docs.select(*substring_dedup.uids(), F.coalesce("text", F.lit("")).alias("text")).select("uid", "text").cache()
+    part = lambda k: keyed.where(F.pmod("uid", F.lit(4)) == k)
+    places = lambda hits: {tuple(r) for r in hits.collect()}
+    whole = places(substring_dedup.FingerprintLog(spark, buckets=8).append(keyed))
+    found = set()
+    for k in range(4):
+        log = substring_dedup.FingerprintLog(spark.newSession(), (tmp_path / "index").as_uri())
+        assert log.state["version"] == (0, 1, 2, 4)[k]
+        found |= places(log.append(part(k)))
+    assert found == whole and len(log.state["runs"]) == 2 and len(log.state["old"]) == 4
+    log.vacuum()
+    assert len([p for p in (tmp_path / "index").iterdir() if p.name.startswith("run-")]) == 2
+    for r in log.runs().collect():
+        keys = np.frombuffer(bytes(r.key), np.uint64)
+        assert (keys[1:] > keys[:-1]).all() and len(keys) == len(r.pos) // 4
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintLog(spark, (tmp_path / "index").as_uri(), window=20)
+
+
 def near_groups(table, n, percent=80):
     """(doc_id, set size, component) of every row, by comparing all pairs."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
