@@ -173,7 +173,8 @@ def mixed(known: DataFrame) -> DataFrame:
     sizes = known.groupBy("key", "component").agg(F.count("*").alias("c"))
     biggest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("m"), F.count("*").alias("k")).where("k > 1")
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    wanted = biggest.select("key", F.col("top.component").alias("top"), blocks(F.col("m") - F.col("top.c")).alias("owns"), blocks(F.col("top.c")).alias("others"))
+    # a table of its own, as classes in groups(): the join can then split hot keys
+    wanted = cut(biggest.select("key", F.col("top.component").alias("top"), blocks(F.col("m") - F.col("top.c")).alias("owns"), blocks(F.col("top.c")).alias("others")))
     return known.join(wanted, "key").select("key", "id", "component", (F.col("component") != F.col("top")).alias("own"), "owns", "others")
 
 
@@ -200,13 +201,13 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_c
     stars = buckets.where("id <> hub.id").where(fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     tested = cut(stars)
     wanted = leads.join(buckets.select("id").distinct(), "id", "left_semi").select("doc_id", "text_hash", "id")
-    sets = cut(full_sets(texts.join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("id", "text").dropDuplicates(["id"]), shingle))
+    sets = cut(full_sets(texts.join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("id", "text"), shingle))
     links = cut(confirmed(tested, sets, percent).unionByName(same_id))
     label = components(links).select(F.col("node").alias("id"), "component")
     known = buckets.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
     ranked = known.join(degree, "id", "left").na.fill(0, ["d"])
-    hub = ranked.groupBy("key").agg(F.max(F.struct("d", F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("component").alias("ch"))).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "h.hub", "h.nh", "h.ch")
+    hub = cut(ranked.groupBy("key").agg(F.max(F.struct("d", F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("component").alias("ch"))).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "h.hub", "h.nh", "h.ch"))
     pairs = known.join(hub, "key").where("component <> ch").where(fits(F.col("n"), F.col("nh"))).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     more = cut(confirmed(cut(pairs.distinct().join(tested, ["a", "b"], "left_anti")), sets, percent))
     if not more.isEmpty():
