@@ -1,12 +1,14 @@
 """Language ID by cross-parsing entropy.
 
-Of each language a suffix automaton is built over a bounded stretch of labelled text. A text is parsed greedily into
-the longest phrases that occur in that stretch; c phrases over n letters against a stretch of N letters give
-c * log2(N) / n bits a letter, and the language with the fewest wins.
+Of each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed greedily, from its
+first byte to its last, into the longest phrases that occur in that sample; c phrases over n letters against a sample of N letters give
+c * log2(N) / n bits a letter, and the language with the fewest wins. Stretches of a text are parsed side by side as if each began
+a phrase, and then again from the state that the stretch before has left, as far as that makes a difference, so that the
+phrases are those of one parse from left to right.
 
 Defined results: null text and text without a letter give `und` and score 0; with no labelled text at all every text
-gives `und`; a tie goes to the language that sorts first; repeated rows are scored alike; very long texts are parsed whole, in
-stretches of 128 bytes that each begin a phrase, for every language alike.
+gives `und`; a tie goes to the language that sorts first; repeated rows are scored alike, as are rows that repeat an id; very long texts are
+parsed whole; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import prepare, slices, utf8
+from loomspark.llm._common import prepare, slices
 
-#: Bounds of the fit: texts drawn for each language, letters kept of them, and letters taken from one text.
-FIT_TEXTS, FIT_BYTES, FIT_EACH = 48, 24_000, 1_500
-#: Length of a parsed stretch, in bytes.
+#: Bounds of the fit: texts drawn for each language, and letters of each, from a hashed place in it.
+FIT_TEXTS, FIT_EACH = 48, 500
+#: Length of the stretches that are parsed side by side, in bytes.
 STRETCH = 128
-#: A text of at least this many bytes whose phrases are shorter than this mean is in none of the languages.
-LEAST_BYTES, LEAST_PHRASE = 40, 1.9
+#: A text is in none of the languages if it has more phrases than mean ones of LEAST_PHRASE bytes would be, by DEVIATIONS of chance.
+LEAST_PHRASE, DEVIATIONS = 1.9, 2.0
 _FLAG, _PAD, _OTHER = 1 << 30, 1, 2
 
 
@@ -124,26 +126,57 @@ class Parser:
         codes = np.append(self.code[x], _PAD)
         step = np.arange(STRETCH)[:, None]
         grid = codes[np.where(step < left, first + step, len(x))]
+        begins = np.concatenate(([True], text[1:] != text[:-1]))
         for k, table in enumerate(self.tables):
-            state = np.zeros(len(text), np.int32)
-            count = np.ones(len(text), np.int32)
-            for row in grid:
-                state *= self.width
-                state += row
-                state = table.take(state)
-                count += state >> 30
-                state &= _FLAG - 1
-            out[:, k] = np.bincount(text, count, len(n))
+            out[:, k] = np.bincount(text, self._stretches(table, grid, begins) + begins, len(n))
         return out, n
 
-
-def predict(texts: pa.Array, model: dict[str, bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score and mean phrase length of lower-cased texts."""
+    def _stretches(self, table: np.ndarray, grid: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Phrases that begin within each stretch, but for a text's first one."""
+        steps, many = grid.shape
+        trail = np.empty((steps, many), np.int32)
+        state, count = np.zeros(many, np.int32), np.zeros(many, np.int32)
+        for row, kept in zip(grid, trail, strict=True):
+            state *= self.width
+            state += row
+            table.take(state, out=kept, mode="clip")
+            count += kept >> 30
+            np.bitwise_and(kept, _FLAG - 1, out=state)
+        # from the state that the stretch before has left, until both parses are in one state; if they never are, the next stretch is due
+        due = np.flatnonzero(~begins)
+        entry = state[due - 1]
+        due, entry = due[entry != 0], entry[entry != 0]
+        while len(due):
+            lanes, at = due, entry
+            for row, kept in zip(grid, trail, strict=True):
+                now, was = table.take(at * self.width + row[lanes]), kept[lanes]
+                count[lanes] += (now >> 30) - (was >> 30)
+                kept[lanes] = now
+                apart = (now ^ was) & (_FLAG - 1) != 0
+                lanes, at = lanes[apart], (now & (_FLAG - 1))[apart]
+                if not len(lanes):
+                    break
+            due = lanes + 1
+            inside = due < many
+            due, entry = due[inside], at[inside]
+            going = ~begins[due]
+            due, entry = due[going], entry[going]
+        return count
+
+
+def foreign(phrases: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether phrases over n letters are too many for any of the languages."""
+    usual = n / LEAST_PHRASE
+    return phrases > usual + DEVIATIONS * np.sqrt(usual)
+
+
+def predict(texts: pa.Array, model: dict[str, bytes]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, mean phrase length of lower-cased texts, and whether they are foreign to all languages."""
+    scores, means, alien = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
     if not model:
-        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        return ["und"] * len(texts), scores, means, alien
     parser = Parser.of(model)
     langs: list[str] = []
-    scores, means = np.zeros(len(texts)), np.zeros(len(texts))
     for lo, hi, data, off in slices(texts):
         count, n = parser.phrases(data, off)
         bits = count * parser.bits / np.maximum(n, 1)[:, None]
@@ -153,7 +186,8 @@ def predict(texts: pa.Array, model: dict[str, bytes]) -> tuple[list[str], np.nda
         langs += [parser.langs[b] for b in best]
         scores[lo:hi] = 1 / odds.sum(axis=1)
         means[lo:hi] = n / np.maximum(count[rows, best], 1)
-    return langs, scores, means
+        alien[lo:hi] = foreign(count[rows, best], n)
+    return langs, scores, means, alien
 
 
 def held_out(doc_id: Column) -> Column:
@@ -161,17 +195,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Labelled letters for each language: of at most FIT_TEXTS texts by the order of their hashes, FIT_EACH of each, FIT_BYTES in all.
+    """Labelled letters for each language: of FIT_TEXTS texts by the order of their hashes, FIT_EACH letters of each, from a hashed place on.
 
     The sample alone is bounded; every row stands for the draw, and each partition sends FIT_TEXTS a language at most."""
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    drawn = known.select("doc_id", "lang", F.substring(F.lower("text"), 1, 2 * FIT_EACH).alias("text")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIT_TEXTS).orderBy("lang", "n")
+    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    wide = 2 * FIT_EACH
+    place = F.pmod("h", F.greatest(F.length("text") - wide, F.lit(0)) + 1).cast("int") + 1
+    hashed = known.withColumn("h", F.xxhash64("doc_id"))
+    drawn = hashed.select("doc_id", "lang", "h", F.lower(F.substring("text", place, F.lit(wide))).alias("text")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIT_TEXTS).orderBy("lang", "n")
     out: dict[str, bytes] = {}
     for row in drawn.collect():
         raw = np.frombuffer(row.text.encode(), np.uint8)
         x, _ = letters(raw, np.array([0, len(raw)]))
-        out[row.lang] = (out.get(row.lang, b"") + x[:FIT_EACH].tobytes() + b" ")[:FIT_BYTES]
+        out[row.lang] = out.get(row.lang, b"") + x[:FIT_EACH].tobytes() + b" "
     return out
 
 
@@ -181,12 +218,10 @@ def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores, means = predict(b["text"], model)
+            langs, scores, means, alien = predict(b["text"], model)
             und = ~b["letter"].to_numpy(zero_copy_only=False).astype(bool) | np.array([x == "und" for x in langs], bool)
-            _, off = utf8(b["text"])
-            rejected = und | ((np.diff(off) >= LEAST_BYTES) & (means < LEAST_PHRASE))
             lang = pc.if_else(pa.array(und), "und", pa.array(langs, pa.string()))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], lang, pa.array(np.where(und, 0.0, scores)), pa.array(means), pa.array(rejected)], ["doc_id", "lang_pred", "score", "phrase", "rejected"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], lang, pa.array(np.where(und, 0.0, scores)), pa.array(means), pa.array(und | alien)], ["doc_id", "lang_pred", "score", "phrase", "rejected"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text).alias("text"), text.rlike(r"\p{L}").alias("letter"))
@@ -194,14 +229,12 @@ def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", t
 
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """docs without those that are rejected: no letter, or phrases too short for any of the languages. All columns stay."""
+    """docs without those that are rejected: no letter, or too many phrases for any of the languages; with no labelled text, only those without a letter go. All columns stay."""
     prepare(docs.sparkSession)
 
     @F.arrow_udf("boolean")
     def fits(texts: pa.Array) -> pa.Array:
-        _, _, means = predict(texts, model)
-        _, off = utf8(texts)
-        return pa.array((np.diff(off) < LEAST_BYTES) | (means >= LEAST_PHRASE) | (not model))
+        return pa.array(~predict(texts, model)[3])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.where(text.rlike(r"\p{L}")).where(fits(F.lower(text)))

@@ -273,16 +273,47 @@ def test_language_id(spark, none):
     assert {r.doc_id for r in language_id.keep_identified(odd, model).collect()} == {5}
 
 
-def test_parser_counts_longest_matches():
-    text = b"the cat and the dog and the bird "
-    p = language_id.Parser({"x": text})
-    query = b"the dog the bird qq cat"
-    count, n = p.phrases(np.frombuffer(query, np.uint8), np.array([0, len(query)]))
+def phrases(query: bytes, text: bytes) -> int:
     k, c = 0, 0
     while k < len(query):
-        m = max([m for m in range(1, len(query) - k + 1) if query[k : k + m] in text], default=1)
+        m = 1
+        while k + m < len(query) and query[k : k + m + 1] in text and query[k : k + m] in text:
+            m += 1
         k, c = k + m, c + 1
-    assert n[0] == len(query) and count[0, 0] == c
+    return c
+
+
+def test_parser_counts_longest_matches():
+    """Phrases of whole texts, of a byte and of many stretches, are those of a naive parse from left to right."""
+    rng = random.Random(6)
+    sample = " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 6))) for _ in range(600)).encode()
+    other = " ".join("".join(rng.choice("defgz") for _ in range(rng.randrange(1, 6))) for _ in range(300)).encode()
+    p = language_id.Parser({"x": sample, "y": other})
+    start = rng.randrange(500)
+    queries = [b"", b"a", b"q", sample[start : start + 1200], b"q" * 300, sample[7:135], sample[7:136], b"the dog the bird qq cat"]
+    queries += ["".join(rng.choice("abcdefgz  ") for _ in range(n)).strip().replace("  ", " ").encode() for n in (127, 128, 129, 130, 400, 3000)]
+    count, n = p.phrases(np.frombuffer(b"".join(queries), np.uint8), np.cumsum([0, *map(len, queries)]))
+    for q, c, size in zip(queries, count, n, strict=True):
+        clean = re.sub(b" +", b" ", q)
+        assert size == len(clean) and c.tolist() == [phrases(clean, sample), phrases(clean, other)]
+
+
+def test_language_id_of_odd_rows(spark):
+    """Repeated rows and ids, very long texts, clashing columns, ties, and labels of a language in a number's clothes."""
+    rng = random.Random(2)
+    vocab = {lang: ["".join(rng.choice(chars) for _ in range(rng.randrange(2, 7))) for _ in range(80)] for lang, chars in (("xa", "aeklmn"), ("xb", "iorstu"))}
+    text = lambda lang, n: " ".join(rng.choice(vocab[lang]) for _ in range(n))
+    train = [(k, text(lang, 60), lang) for k in range(60) for lang in ("xa", "xb")]
+    model = language_id.fit(spark.createDataFrame([*train, (200, None, "xa"), (201, "a", None), (None, "x", "xb")], "doc_id long, text string, lang string"))
+    assert sorted(model) == ["xa", "xb"] and all(len(m) <= language_id.FIT_TEXTS * (language_id.FIT_EACH + 1) for m in model.values())
+    long = text("xb", 200_000)
+    table = [(1, text("xa", 30)), (1, text("xb", 30)), (2, long), (3, long[:500]), (3, long[:500]), (None, text("xa", 30)), (4, "7 -"), (5, None)]
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumn("letter", F.lit("x")).withColumn("lang", F.lit("xb"))
+    got = sorted((r.doc_id or 0, r.lang_pred) for r in language_id.identify(df, model).collect())
+    assert got == [(0, "xa"), (1, "xa"), (1, "xb"), (2, "xb"), (3, "xb"), (3, "xb"), (4, "und"), (5, "und")]
+    assert language_id.keep_identified(df, model).columns == df.columns and language_id.keep_identified(df, model).count() == 6
+    same = {"b": model["xa"], "a": model["xa"]}
+    assert {r.lang_pred for r in language_id.identify(df.where("doc_id = 3"), same).collect()} == {"a"}
 
 
 def test_toxicity(spark, none):
