@@ -6,8 +6,10 @@ turn and all that follow it and opens the turn anew. What is left is rendered wi
 inside roles and texts are escaped by a backslash after their first character (one more where there are some), so
 that reading back is exact.
 
-Defined results: null role and text are empty; repeated rows are turns of their own; ties of turn go by role, then text;
-deltas and edits of a turn that was never opened open it; an empty log gives no conversations; a conversation is one row, as long as it is.
+Defined results: null role and text are empty; repeated rows are turns of their own; ties of turn go by role, then text; a null
+conversation is one as others are, and a null turn comes first; very long texts are formatted whole;
+deltas and edits of a turn that was never opened open it; an empty log gives no conversations; a conversation is one row, as long as it is;
+other columns don't matter.
 """
 
 from __future__ import annotations
@@ -86,7 +88,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    more = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
     back = read_back(render(reconstruct(as_events(turns))))
     said_by = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
