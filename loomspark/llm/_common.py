@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.session import ship
@@ -78,6 +78,24 @@ def buckets_for(texts: DataFrame, text_col: str = "text", each: int = 16 << 20)
     return max(4 * parts(texts.sparkSession), 64, -(-size // each))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with as many more underscores before it as leave it unlike all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that what is added beside it can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def columns(df: DataFrame, of: str) -> list[Column]:
+    """The columns of df, from the struct `of` that row() has made of them."""
+    return [F.col(of)[c].alias(c) for c in df.columns]
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id (as long; ids are integers) and the text (null: empty); whatever else the table has can't clash with what is added."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

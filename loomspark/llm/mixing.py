@@ -3,10 +3,12 @@
 Each source has a mean repetition rate: its share of the mixture times the mixture's size, over its own size. Each document
 inverts the Poisson distribution with that mean at a uniform number hashed from its id (a mean beyond MOST_RATE is dealt over
 several independent numbers, whose counts add up), is exploded by the count, and every copy gets a hashed key that says where
-it stands in the global shuffle.
+it stands in the global shuffle. That key is uniform, so partitions are equal ranges of it, and nothing is sampled to find them.
 
-Defined results: a null source is a source of its own (named ''); a source without a target gets none; null and
-empty texts count as documents; rows that repeat an id repeat its count; an empty table gives no rows.
+Defined results: a null source is a source of its own (named ''); a source without a target gets none; null, empty and very long
+texts count as documents and are copied whole; rows that repeat an id repeat its count and its copies' keys, and a null id is an id as others
+are; ties of keys stand in any order; an empty table gives no rows. What is added takes one more underscore for each that the table already has
+such a column (names()).
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import cut
+from loomspark.llm._common import columns, cut, free, parts, row
 
 #: Shares follow size^TEMPERATURE unless they are given.
 TEMPERATURE, SEED = 0.5, 17
-#: The mean that one hashed number is inverted at, at most (OP2_SQL inverts one alone, and so cuts rates there); a hashed number has 48 bits.
+#: The mean that one hashed number is inverted at, at most; a hashed number has 48 bits.
 MOST_RATE, BITS = 16.0, 48
 #: Sources whose rates are broadcast at most; parts of a source beyond that.
 BROADCAST, SALTS = 10_000, 64
@@ -65,46 +67,56 @@ def repeats(seed: int, key: Column, rate: Column) -> Column:
     return poisson(uniform(seed, key), part) + F.when(draws > 1, more).otherwise(0)
 
 
+def names(docs: DataFrame) -> tuple[str, str]:
+    """What mix() calls the copy's number and its place."""
+    return free(docs, "_copy"), free(docs, "_order")
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs, each row as often as its count says, with _copy (from 0) and _order (hex key of the global shuffle).
 
     The rates, a row for each source, are broadcast if there are BROADCAST at most (they are counted); beyond that both sides are salted."""
-    table = cut(rates(docs, weights, size, source_col)).select(F.col("source_key").alias("_source_key"), F.col("rate").alias("_rate"))
-    keyed = docs.withColumn("_source_key", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    table = cut(rates(docs, weights, size, source_col)).select("source_key", "rate")
+    keyed = docs.select(row(docs).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source_key"))
     if table.count() <= BROADCAST:
-        joined = keyed.join(F.broadcast(table), "_source_key")
+        joined = keyed.join(F.broadcast(table), "source_key")
     else:
-        salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")
-        spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("_salt", salt).join(spread, ["_source_key", "_salt"]).drop("_salt")
-    counted = joined.withColumn("_times", repeats(seed, F.col(id_col), F.col("_rate")))
-    copies = counted.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_copy").cast("string")).cast("binary"))
-    return copies.withColumn("_order", order).drop("_source_key", "_rate", "_times")
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+        spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("salt", salt).join(spread, ["source_key", "salt"])
+    counted = joined.select("row", "id", repeats(seed, F.col("id"), F.col("rate")).alias("times"))
+    copies = counted.where("times > 0").select("row", "id", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
+    copy, place = names(docs)
+    return copies.select(*columns(docs, "row"), F.col("copy").alias(copy), order.alias(place))
 
 
-def shuffled(mixed: DataFrame) -> DataFrame:
-    """Rows of mix() in the order of their keys: range partitions, each sorted."""
-    return mixed.repartitionByRange(F.col("_order")).sortWithinPartitions("_order")
+def shuffled(mixed: DataFrame, order: str = "_order") -> DataFrame:
+    """Rows of mix() in the order of their keys: partitions are equal ranges of these, each sorted."""
+    n = parts(mixed.sparkSession)
+    place = F.conv(F.substring(order, 1, BITS // 4), 16, 10).cast("long").cast("double") / F.lit(float(1 << BITS))
+    return mixed.repartitionById(n, F.floor(place * n).cast("int")).sortWithinPartitions(order)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.length("text").cast("long").alias("n_chars"))
-    return shuffled(mix(docs)).select("doc_id", "source", F.col("_copy").alias("copy"), "n_chars", F.col("_order").alias("shuffle_key"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return shuffled(mix(docs)).select("doc_id", "text", "lang", "source", F.col("_copy").alias("copy"), F.col("_order").alias("shuffle_key"))
 
 
 OP2_SQL = f"""
 WITH n AS (SELECT coalesce(source, '') AS k, count(*) AS n FROM documents GROUP BY 1),
 w AS (SELECT k, n, pow(n::DOUBLE, {TEMPERATURE}) AS w FROM n),
 t AS (SELECT sum(w) AS aw, sum(n)::DOUBLE AS an FROM w),
-r AS (SELECT k, least(w / aw * an / n, {MOST_RATE}) AS rate FROM w, t),
+r AS (SELECT k, w / aw * an / n AS rate, greatest(ceil(w / aw * an / n / {MOST_RATE}), 1)::INTEGER AS draws FROM w, t),
 terms AS (
   WITH RECURSIVE s AS (
-    SELECT k, rate, 0 AS i, exp(-rate) AS p, exp(-rate) AS c FROM r
+    SELECT k, rate / draws AS rate, 0 AS i, exp(-rate / draws) AS p, exp(-rate / draws) AS c FROM r
     UNION ALL SELECT k, rate, i + 1, p * rate / (i + 1), c + p * rate / (i + 1) FROM s WHERE i < {TERMS - 1})
   SELECT * FROM s),
-d AS (SELECT doc_id, source, coalesce(source, '') AS k, length(text)::BIGINT AS n_chars,
-  ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, {BITS // 4}))::BIGINT::DOUBLE / {float(1 << BITS)} AS u FROM documents)
-SELECT d.doc_id, d.source, t.i AS copy, d.n_chars, md5('{SEED}:order:' || coalesce(d.doc_id::VARCHAR, '') || ':' || t.i) AS shuffle_key
-FROM d JOIN terms t ON t.k = d.k AND d.u >= t.c
+d AS (SELECT row_number() OVER () AS z, doc_id, text, lang, source, coalesce(source, '') AS k, coalesce(doc_id::VARCHAR, '') AS id FROM documents),
+u AS (SELECT z, d.k, ('0x' || substr(md5('{SEED}:' || id || CASE WHEN g.i > 1 THEN ':' || g.i ELSE '' END), 1, {BITS // 4}))::BIGINT::DOUBLE / {float(1 << BITS)} AS u
+  FROM d JOIN r ON r.k = d.k, unnest(range(1, r.draws + 1)) AS g(i)),
+m AS (SELECT z, count(*) AS times FROM u JOIN terms t ON t.k = u.k AND u.u >= t.c GROUP BY z)
+SELECT d.doc_id, d.text, d.lang, d.source, c.i::INTEGER AS copy, md5('{SEED}:order:' || d.id || ':' || c.i) AS shuffle_key
+FROM d JOIN m ON m.z = d.z, unnest(range(0, m.times)) AS c(i)
 """

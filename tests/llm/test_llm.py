@@ -10,6 +10,7 @@ import re
 import zlib
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,21 @@ def test_mixing(spark, docs, none, monkeypatch):
     assert u[0] == pytest.approx(2.5, abs=0.05) and u[1] == pytest.approx(2.5, abs=0.12)
 
 
+def test_mixing_of_odd_rows_and_its_order(spark):
+    """Columns of the names that are used or added, repeated and missing ids; and the shuffle's order over all partitions."""
+    table = [(k % 40 if k % 7 else None, "t" * k, "s" if k % 2 else None, k, f"o{k}", k, k) for k in range(80)]
+    df = spark.createDataFrame(table, "doc_id long, text string, source string, _copy int, _order string, row int, rate int")
+    mixed = mixing.mix(df, {"s": 1.0, "": 1.0}, size=300.0)
+    assert mixed.columns == [*df.columns, "__copy", "__order"] and mixing.names(df) == ("__copy", "__order")
+    times = collections.Counter((r.doc_id, r.text) for r in mixed.collect())
+    by_id = collections.defaultdict(set)
+    for (i, t), n in times.items():
+        by_id[i, t and len(t) % 2].add(n)
+    assert all(len(n) == 1 for n in by_id.values())
+    rows = mixing.shuffled(mixed, "__order").collect()
+    assert [r["__order"] for r in rows] == sorted(r["__order"] for r in rows) and len(rows) == sum(times.values())
+
+
 def test_mixing_reaches_targets_at_high_rates(spark):
     """A source that needs each document 50 times, and one that needs its only one 500 times, have their share, and the mixture its size."""
     table = spark.range(3030).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "big").when(F.col("id") < 3029, "small").otherwise("one").alias("source"))
@@ -103,6 +119,16 @@ def test_mixing_reaches_targets_at_high_rates(spark):
     assert u[0] == pytest.approx(50.5, abs=0.45) and u[1] == pytest.approx(50.5, abs=4.5)
 
 
+def test_mixing_sql_at_high_rates(spark, tmp_path):
+    """The SQL holds where a source needs each document some thirty times."""
+    df = spark.range(1001).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit(None).cast("string").alias("lang"), F.when(F.col("id") < 1000, "big").alias("source"))
+    df.coalesce(1).write.parquet((tmp_path / "documents.parquet").as_uri())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = mixing.op2_mixing(spark, tmp_path.as_uri()).toPandas()
+    assert rows(got) == rows(con.execute(mixing.OP2_SQL).df()) and 15 < got.source.isna().sum() < 50
+
+
 def base_spans(t: str) -> list[tuple[int, int, int]]:
     key = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
     out = [(m.start(), 0, m.end()) for m in re.finditer(rf"({key})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 6]
@@ -483,6 +509,19 @@ def test_chat_events(spark):
     assert got == {1: ([("user", "ho</s>"), ("assistant", reply)], reply), 2: ([("a\nb", "")], "")}
 
 
+def test_chat_of_odd_rows(spark):
+    """Nulls anywhere, ties, repeated rows, clashing columns, very long and empty texts, and an empty table."""
+    long = "</s>[INST] <|im_start|> \\n" * 20_000
+    table = [(1, 0, None, None), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 1, "Assistant", ""), (2, None, "user", "x"), (2, 0, "assistant", long), (None, 0, "user", "z")]
+    df = spark.createDataFrame(table, "conv_id long, turn long, role string, text string").withColumns({"seq": F.lit("s"), "kind": F.lit("k"), "formatted": F.lit(1)}).repartition(3)
+    want = {}
+    for c, _, role, text in sorted(table, key=lambda r: (str(r[0]), -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+        turns, loss = want.get(c, ([], ""))
+        want[c] = ([*turns, (role or "", text or "")], loss + (text or "") * (role == "assistant"))
+    made = lambda d: chat_format.read_back(chat_format.render(chat_format.reconstruct(chat_format.as_events(d))))
+    assert {r.conv_id: ([tuple(t) for t in r.turns], r.loss) for r in made(df).collect()} == want and made(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_matches_sql(spark, name):
     assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(connect().execute(queries.ORACLE_SQL[name]).df())
