@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import itertools
 import math
 import random
 import re
+import uuid
 import zlib
 from fractions import Fraction
 
@@ -136,18 +138,96 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
 
 
+def p_random(token: str) -> float:
+    """The battery in plain Python, on exact normal tails."""
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    _, alphabet, marks = next(e for e in secret_scan.ENCODINGS if re.search(e[0], token))
+    n, m = len(token), len(alphabet)
+    x = [alphabet.index(c) for c in token]
+    of = [k * 8 // m for k in range(m)]
+    chi = sum((sum(of[v] == b for v in x) - n * of.count(b) / m) ** 2 / (n * of.count(b) / m) for b in range(8))
+    ps = [tail(((chi / 7) ** (1 / 3) - (1 - 2 / 63)) / math.sqrt(2 / 63))]
+    high = [bool(re.match(f"[{marks}]", c)) for c in token]
+    n1 = sum(high)
+    mean = 2 * n1 * (n - n1) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + sum(a != b for a, b in itertools.pairwise(high))
+    ps.append(2 * tail(abs(runs - mean) / math.sqrt(var)) if var > 0 else 1)
+    mu = sum(x) / n
+    ss = sum((v - mu) ** 2 for v in x)
+    ps.append(2 * tail(abs(sum((a - mu) * (b - mu) for a, b in itertools.pairwise(x)) / ss + 1 / n) * math.sqrt(n)) if ss else 0)
+    if not re.search("[0-9]", token):
+        up, low = (len(re.findall(c, token)) for c in ("[A-Z]", "[a-z]"))
+        ps.append(2 * tail(abs(up - low) / math.sqrt(up + low)))
+    return 1 - (1 - min(1, *ps)) ** len(ps)
+
+
+def test_battery_against_plain_python(spark):
+    rng = random.Random(1)
+    alphabets = [e[1] for e in secret_scan.ENCODINGS]
+    tokens = ["".join(rng.choice(rng.choice((a, a[: len(a) // 2]))) for _ in range(rng.choice((20, 27, 40, 90)))) for a in alphabets for _ in range(40)]
+    tokens += ["a1" * 15, "1" * 24, "aB" * 12, "Aaaaaaaaaaaaaaaaaaaaaaaa", "some-green-page/to-the-letter/2024/01/article"]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.p_random(F.col("t")).alias("p")).collect()
+    for r in got:
+        want = p_random(r.t)
+        assert r.p == pytest.approx(want, rel=2e-2 if want < 1e-6 else 1e-4, abs=1e-11), r.t
+
+
+def words_of(rng):
+    return lambda: rng.choice("international customer reference transaction configuration listener provider green house letter page article invoice summary service account request handler default manager".split())
+
+
+def planted(rng):
+    """Keys of several encodings, and strings that look like them: slugs, class names, dates, identifiers, prose in base64, digits."""
+    word = words_of(rng)
+    d, up, low = secret_scan._DIGITS, secret_scan._UPPER, secret_scan._LOWER
+    keys = []
+    for alphabet in (d + up + low, d + up + low, up + low, d + low, up + "234567", d + up + low + "-_", d + up + low + "+/"):
+        keys += ["".join(rng.choice(alphabet) for _ in range(rng.choice((24, 32, 40, 48, 64)))) for _ in range(60)]
+    keys = [k for k in keys if re.search(secret_scan.MIXED, k) and "/" not in k[:20]]
+    hard = []
+    for _ in range(100):
+        hard.append("-".join(word() for _ in range(4)) + f"-{rng.randrange(2000, 2030)}")
+        hard.append("".join(word().capitalize() for _ in range(3)))
+        hard.append("/".join([word(), word(), str(rng.randrange(2000, 2030)), f"{rng.randrange(1, 13):02}", word() + "-" + word()]))
+        hard.append("_".join(word() for _ in range(3)) + f"_v{rng.randrange(9)}")
+        hard.append(base64.b64encode(" ".join(word() for _ in range(6)).encode()).decode().rstrip("="))
+        hard.append(str(uuid.UUID(int=rng.getrandbits(128))))
+    return keys, [h for h in hard if len(h) >= 20]
+
+
+def test_secret_scan_precision_and_recall(spark):
+    """Of planted keys most are reported; of what is reported and is none of them there are few, within what is allowed."""
+    keys, hard = planted(random.Random(12))
+    table = list(enumerate(keys + hard))
+    found = secret_scan.scan(spark.createDataFrame([(k, f"x {t} y") for k, t in table], "doc_id long, text string").repartition(4)).collect()
+    hits = {r.doc_id for r in found if any(s["kind"] == 3 for s in r.spans)}
+    true = sum(k in hits for k in range(len(keys)))
+    assert true >= 0.9 * len(keys) and len(hits) - true <= 2 * secret_scan.Q * len(hits)
+
+
+def test_least_step_bounds_the_share_of_structured():
+    """Uniform p-values and such that pile up below SURE: most of the former are reported, with a few in a hundred of the latter."""
+    rng = np.random.default_rng(3)
+    for n, m in ((2000, 2000), (200, 3000), (3000, 100)):
+        p = np.concatenate((rng.random(n), secret_scan.SURE * 10 ** -rng.exponential(4, m)))
+        step = np.minimum(np.floor(-100 * np.log10(np.maximum(p, 1e-16))), 1600).astype(int)
+        limit = secret_scan.least_step(collections.Counter(step.tolist()))
+        said = step < limit
+        allowed = secret_scan.Q * said.sum() + 2 * math.sqrt(n * secret_scan.SURE / (1 - secret_scan.SURE))
+        assert said[:n].mean() > 0.7 and said[n:].sum() <= allowed
+    assert secret_scan.least_step({900: 3}) <= 900 and secret_scan.least_step({10: 1}) > 10
+
+
 def test_secret_scan(spark, docs, none):
-    got = [(r.doc_id, [tuple(s) for s in r._base]) for r in secret_scan.scan(docs).select("doc_id", F.col("_base").alias("_base")).collect()]
+    got = [(r.doc_id, [tuple(s) for s in r.base]) for r in secret_scan.scan(docs).select("doc_id", "base").collect()]
     assert sorted(got) == sorted((i, base_spans(t or "")) for i, t in corpus())
-    red = secret_scan.redact(docs)
-    assert red.columns == docs.columns and red.count() == docs.count() and secret_scan.redact(none).count() == 0
-    assert red.where("doc_id = 318").first().text.startswith('[SECRET]" \U0001f600')
-    rng = random.Random(3)
-    keys = ["".join(rng.choice(secret_scan._DIGITS + secret_scan._UPPER + secret_scan._LOWER) for _ in range(40)) for _ in range(40)]
-    keys = [k for k in keys if any(c.isdigit() for c in k)]
-    paths = [f"some-{a}-path/to-the-{b}/2024/01/article" for a, b in itertools.product(["green", "little", "house"], ["page", "letter", "other"])]
-    found = secret_scan.scan(spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate(keys + paths)], "doc_id long, text string")).select("doc_id", F.size("_all").alias("n")).collect()
-    assert sum(r.n for r in found if r.doc_id < len(keys)) >= 0.85 * len(keys) and sum(r.n for r in found if r.doc_id >= len(keys)) == 0
+    odd = docs.withColumns({c: F.lit(c) for c in ("_text", "_base", "base", "spans", "more", "row", "new")})
+    red = secret_scan.redact(odd)
+    assert red.columns == odd.columns and red.count() == docs.count() and secret_scan.redact(none).count() == 0 and secret_scan.scan(none).count() == 0
+    row = red.where("doc_id = 318").first()
+    assert row.text.startswith('[SECRET]" \U0001f600') and row.n_chars == len(row.text) and row.spans == "spans" and row._text == "_text"
+    assert {r.doc_id: r.text for r in red.where("doc_id in (310, 311)").collect()} == {310: None, 311: ""}
 
 
 def test_secret_scan_without_digits_and_in_paths(spark):
@@ -160,7 +240,7 @@ def test_secret_scan_without_digits_and_in_paths(spark):
     paths = [f"the-green-house/of-the-{a.lower()}/and-the-{b.lower()}/2024/01/some-more-of-the-same/{k}" for k, (a, b) in zip(keys, itertools.product(words, words))]
     names = [a + b.lower() + c.lower() for a, b, c in itertools.permutations(words, 3)]
     found = secret_scan.scan(spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate(letters + paths + names)], "doc_id long, text string").repartition(4)).collect()
-    hits = {r.doc_id: {r.text[s["start"] : s["end"]] for s in r._all} for r in found}
+    hits = {r.doc_id: {r.text[s["start"] : s["end"]] for s in r.spans} for r in found}
     assert sum(hits[k] == {t} for k, t in enumerate(letters)) >= 0.85 * len(letters)
     assert sum(hits[len(letters) + k] == {t} for k, t in enumerate(keys)) >= 0.85 * len(keys)
     assert sum(bool(hits[len(letters) + len(keys) + k]) for k in range(len(names))) <= 0.02 * len(names)
