@@ -433,6 +433,59 @@ def test_toxicity(spark, none):
     assert toxicity.train([b"a"], [1]) is None and toxicity.score(none, None).count() == 0
 
 
+def window_means(text: bytes, weight, bias):
+    """Logits of all windows of a text, from a bag of n-grams each."""
+    folded = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in text)
+    words = [w for w in folded.split(b" ") if w]
+    words = [w for k, w in enumerate(words) if not k or w != words[k - 1]]
+
+    def bag(word):
+        out = []
+        for n in (3, 4, 5):
+            for k in range(len(word) + 3 - n):
+                gram = (b" " + word + b" ")[k : k + n]
+                h = gram[0]
+                for c in gram[1:]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+                out.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - toxicity.BITS))
+        return out
+
+    bags = [bag(w) for w in words]
+    out = []
+    for k in range(max(1, len(words) - toxicity.WIDE + 1) if words else 0):
+        ids = [g for b in bags[k : k + toxicity.WIDE] for g in b]
+        out.append(float(np.mean([weight[g] for g in ids])) + bias)
+    return out
+
+
+def test_toxicity_windows_against_naive_bags():
+    rng = np.random.default_rng(7)
+    weight = rng.normal(size=1 << toxicity.BITS).astype(np.float32)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 9)).astype(np.uint8)) for _ in range(50)] + ["é".encode(), b"A", b"a1-b", "ßü".encode()]
+    texts = [b"", b" \n", b"one", b"b b b c", b" ".join(words), b"\t".join(words[i] for i in rng.integers(0, 54, 9)), b" x ".join(words[i] for i in rng.integers(0, 54, 400))]
+    logits, _, at = toxicity.window_logits(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), weight, 0.25)
+    for k, t in enumerate(texts):
+        assert logits[at[k] : at[k + 1]] == pytest.approx(window_means(t, weight, 0.25), abs=1e-6)
+
+
+def test_toxicity_of_odd_rows_and_misspellings(spark):
+    """Ids that repeat, conflicting and missing labels, very long texts and clashing columns; and spellings that weren't seen."""
+    rng = random.Random(3)
+    vocab = "the a of in to and it was on with house garden water letter morning people small green walk read write table window city river bread music paper stone night".split()
+    mean = ["worthless", "disgusting", "pathetic", "scoundrel"]
+    text = lambda bad, n=60: " ".join([*rng.choices(vocab, k=n), *([rng.choice(mean)] if bad else []), *rng.choices(vocab, k=n)])
+    ids = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 5]
+    rows_ = [(i, text(k % 3 == 0)) for k, i in enumerate(ids)]
+    marks = [(i, int(k % 3 == 0)) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame([*rows_, rows_[0], (rows_[1][0], "zz"), (None, "x"), (5000, None)], "doc_id long, text string").withColumns({"toxic": F.lit(9), "k": F.lit("k"), "score": F.lit(1)}).repartition(3)
+    labels = spark.createDataFrame([*marks, marks[0], (marks[2][0], 1 - marks[2][1]), (marks[3][0], None), (None, 1), (5001, 7)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    tests = [(1, text(False)), (2, text(False, 60_000)), (3, text(False, 20) + " worthles " + text(False, 20)), (4, text(False, 20) + " disgustingg " + text(False, 20)), (5, text(False, 20) + " scoundrells " + text(False, 20)), (5, text(False)), (None, text(True)), (7, text(True, 30_000))]
+    got = [(r.doc_id, r.score) for r in toxicity.score(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()]
+    assert [s >= 0.5 for _, s in got] == [False, False, True, True, True, False, True, True]
+    assert toxicity.fit(docs, labels.where("toxic = 1")) is None and toxicity.fit(docs.limit(0), labels) is None
+
+
 def vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(150, 8))
