@@ -229,7 +229,7 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star in turn until nothing changes; each round is a table in the shared folder, its
     minimum per node is combined before the shuffle, and no node's neighbours meet in one task."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    nodes = cut(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     state = None
     while True:
         both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
@@ -237,7 +237,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = cut(small)
+        before, edges = edges, cut(small)
+        drop(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

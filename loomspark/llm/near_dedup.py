@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import binaries, components, cut, gram_hashes, ids_and_texts, local_links, mix, prepare, seeds, slices, utf8, word_hashes, words
+from loomspark.llm._common import binaries, components, cut, drop, gram_hashes, ids_and_texts, local_links, mix, prepare, seeds, slices, utf8, word_hashes, words
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 5
@@ -211,14 +211,17 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_c
     pairs = known.join(hub, "key").where("component <> ch").where(fits(F.col("n"), F.col("nh"))).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     more = cut(confirmed(cut(pairs.distinct().join(tested, ["a", "b"], "left_anti")), sets, percent))
     if not more.isEmpty():
-        links = cut(links.unionByName(more))
+        before, links = links, cut(links.unionByName(more))
+        drop(before)
         label = components(links).select(F.col("node").alias("id"), "component")
     known = buckets.select("key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = cut(across(mixed(cut(known)), sets, percent))
+    known = cut(known)
+    rest = cut(across(mixed(known), sets, percent))
     if not rest.isEmpty():
         label = components(links.unionByName(rest)).select(F.col("node").alias("id"), "component")
     # a component is known by a row's number; what is returned is the least doc_id of its classes
     linked = cut(label.join(classes.select("id", "least"), "id"))
+    drop(same_id, buckets, tested, sets, links, hub, more, known, rest, classes)
     named = linked.select("id", "component").join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("id", "component_id")
     placed = firsts.select("doc_id", "id", "least").join(named, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "least")).alias("component_id"))
     return sketched.select("doc_id", "n_shingles").join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

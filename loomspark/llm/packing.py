@@ -6,8 +6,11 @@ capacity are matched greedily, the largest with the largest partner that still f
 them at most; smaller pieces then go, longest first, to the tightest gap that takes them, and open new sequences only
 where none does. The plan says which ranks of a length go to which sequences; each piece finds its place by its rank.
 
+Each row of the table has a number of its own beside its id, so that copies can be told apart. With a seed, sequences are numbered in a
+random order: the plan's own has the longest pieces first.
+
 Defined results: null and empty texts are one piece that holds the end id alone; ties and repeated rows are placed by
-their rank in any order; an empty table gives no rows; a very long text is tokenized whole.
+their rank in any order; a null id stays null; an empty table gives no rows; a very long text is tokenized whole; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -81,28 +84,28 @@ class WordIds(dict):
 
 
 def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces: doc_id, piece, start, length, ids_crc32, and with with_ids also ids (binary, little-endian 32-bit)."""
+    """Pieces: doc_id, row (a number for each row of docs), piece, start, length, ids_crc32, and with with_ids also ids (binary, little-endian 32-bit)."""
     prepare(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordIds.of(path)
         for b in batches:
-            ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
+            ids, texts = list(zip(b["doc_id"].to_pylist(), b["row"].to_pylist(), strict=True)), b["text"].to_pylist()
             for at in range(0, len(ids), 100):
                 rows: list[tuple] = []
                 for doc, code in zip(ids[at : at + 100], map(coder.encode, texts[at : at + 100]), strict=True):
                     code += end
                     for k in range(0, len(code), 4 * capacity):
                         part = code[k : k + 4 * capacity]
-                        rows.append((doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), part))
-                cols = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[:5], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+                        rows.append((*doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), part))
+                cols = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[:6], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                 if with_ids:
-                    cols.append(binaries([r[5] for r in rows]))
-                yield pa.RecordBatch.from_arrays(cols, [*"doc_id piece start length ids_crc32".split(), *["ids"] * with_ids])
+                    cols.append(binaries([r[6] for r in rows]))
+                yield pa.RecordBatch.from_arrays(cols, [*"doc_id row piece start length ids_crc32".split(), *["ids"] * with_ids])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return ids_and_texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    return ids_and_texts(docs, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -176,20 +179,36 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarra
     return np.array(rows, np.int64).reshape(-1, 5), bins
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def dealt(n: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """A permutation of 0..size-1 at n: rounds that mix as many bits as size has, again for what falls beyond it."""
+    bits = max(2, (size - 1).bit_length())
+    mask, half = (1 << bits) - 1, bits // 2
+    odd = [int(x) | 1 for x in np.random.default_rng(seed).integers(1, 1 << 62, 4)]
+    out, left = n.astype(np.int64).copy(), np.arange(len(n))
+    while len(left):
+        x = out[left].astype(np.uint64)
+        for m in odd:
+            x = (x * np.uint64(m) + np.uint64(m >> 7)) & np.uint64(mask)
+            x ^= x >> np.uint64(half)
+        out[left] = x.astype(np.int64)
+        left = left[out[left] >= size]
+    return out
+
+
+def place(pieces: DataFrame, capacity: int = CAPACITY, seed: int | None = None) -> DataFrame:
     """pieces (a stored table) with sequence_id and offset.
 
     Only the histogram of lengths, of `capacity` rows at most, and the plan made of it are on the driver."""
     spark = pieces.sparkSession
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rows, _ = plan(counts, capacity)
+    rows, bins = plan(counts, capacity)
     if len(rows):
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     salts = -(-max([0, *counts.values()]) // RANKED) * 16 + 16
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy(F.xxhash64("row"), "row", "piece")
     ranked = salted.withColumn("r", F.row_number().over(within) - 1).join(starts, ["length", "salt"]).withColumn("rank", F.col("r") + F.col("base")).drop("salt", "r", "base")
     shift = 1 << 44
     keys = rows[:, 0] * shift + rows[:, 1]
@@ -202,17 +221,19 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             row = rows[np.searchsorted(keys, length * shift + rank, "right") - 1] if len(rows) else np.zeros((0, 5), np.int64)
             nth = rank - row[:, 1]
             seq, off = row[:, 2] + nth // row[:, 3], row[:, 4] + nth % row[:, 3] * length
+            if seed is not None:
+                seq = dealt(seq, bins, seed)
             yield pa.RecordBatch.from_arrays([b[c] for c in names[:-2]] + [pa.array(seq), pa.array(off)], names)
 
     prepare(spark)
     return ranked.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Pieces of docs with their places: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
-    return place(cut(tokenized(docs, path or token_path(VOCABULARY), capacity, end_id, with_ids)), capacity)
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, seed: int | None = None) -> DataFrame:
+    """Pieces of docs with their places: doc_id, row, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
+    return place(cut(tokenized(docs, path or token_path(VOCABULARY), capacity, end_id, with_ids)), capacity, seed)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed.select("doc_id", "row", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -17,7 +17,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from loomspark.llm import _common, chat_format, embedding_dedup, language_id, mixing, near_dedup, packing, queries, secret_scan, substring_dedup, topk_search, toxicity
 from tests.test_oracle import SF, connect, rows
 
@@ -60,6 +59,15 @@ def test_packing(docs, none):
     got = got.sort_values(["sequence_id", "offset"])
     assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all() and got.groupby("sequence_id").length.sum().max() <= 4096
     assert packing.pack(none).count() == 0
+    other = packing.pack(docs.withColumn("row", F.lit("x")), seed=3).toPandas()
+    assert sorted(other.groupby("sequence_id").length.sum()) == sorted(got.groupby("sequence_id").length.sum()) and set(other.sequence_id) == set(got.sequence_id)
+    assert not other[["row", "piece"]].duplicated().any() and other[["doc_id", "piece"]].duplicated().any()
+
+
+def test_sequences_are_dealt_as_a_permutation():
+    for size in (1, 2, 3, 100, 1025):
+        x = packing.dealt(np.arange(size), size, 5)
+        assert sorted(x) == list(range(size)) and (size < 100 or abs(np.corrcoef(x, np.arange(size))[0, 1]) < 0.3)
 
 
 def test_word_ids_match_the_tokenizer():
@@ -658,19 +666,3 @@ def test_chat_of_odd_rows(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_matches_sql(spark, name):
     assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(connect().execute(queries.ORACLE_SQL[name]).df())
-
-
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    at, seen = docs, {}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        at = _common.cut(stage(spark, at, SF))
-        seen[name] = at
-        assert at.columns == docs.columns
-    assert seen["language_id"].count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
-    kept = {r.doc_id for r in near_dedup.groups(seen["language_id"]).where("doc_id = component_id").collect()}
-    assert {r.doc_id for r in seen["near_dedup"].collect()} == kept == {r.doc_id for r in seen["secret_scan"].collect()}
-    last = corpus_pipeline.run(spark, SF).toPandas()
-    assert set(last.doc_id) == {r.doc_id for r in at.collect()} and last.groupby("sequence_id").length.sum().max() <= 4096
-
-
