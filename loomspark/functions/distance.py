@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: One character for each distinct token of a pair.
-_CODES = "".join(map(chr, range(0x4E00, 0x9FFF)))
+#: Distinct tokens of a pair that can be told apart: as many as there are characters that can stand for one.
+MOST_TOKENS = 0x110000 - 0x100 - 0x800 - 1
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two token arrays: each distinct token becomes a character of its own."""
+    """Levenshtein distance of two token arrays: each distinct token becomes a character of its own. More than MOST_TOKENS are an error."""
     seen = F.array_distinct(F.concat(a, b))
-    pair = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), seen.alias("d"))), lambda s: F.levenshtein(_coded(s["a"], s["d"]), _coded(s["b"], s["d"])))
-    return pair[0]
 
+    def code(_: Column, i: Column) -> Column:
+        # surrogates and the byte order mark, which decoding swallows, stand for nothing
+        at = i + 0x100
+        at = at + F.when(at >= 0xD800, 0x800).otherwise(0) + F.when(at >= 0xFEFF - 0x800, 1).otherwise(0)
+        return F.decode(F.unhex(F.lpad(F.hex(at.cast("long")), 8, "0")), "UTF-32")
 
-def _coded(tokens: Column, seen: Column) -> Column:
-    return F.array_join(F.transform(tokens, lambda t: F.substring(F.lit(_CODES), F.array_position(seen, t).cast("int"), F.lit(1))), "")
+    bound = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), seen.alias("d"))), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["d"].alias("d"), F.transform(s["d"], code).alias("c")))
+    coded = lambda tokens, s: F.array_join(F.transform(tokens, lambda t: F.element_at(s["c"], F.array_position(s["d"], t).cast("int"))), "")
+    many = F.raise_error(F.concat(F.lit("too many different tokens in a pair: "), F.size(seen).cast("string"))).cast("int")
+    return F.when(F.size(seen) > MOST_TOKENS, many).otherwise(F.transform(bound, lambda s: F.levenshtein(coded(s["a"], s), coded(s["b"], s)))[0])
 
 
 def split_words(text: Column) -> Column:

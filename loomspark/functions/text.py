@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cache, cached_property
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAR = "<star>"
 
 
 def _accents() -> tuple[str, str]:
-    """Characters of the basic plane that lose marks, what is left of each, and then the marks themselves, which vanish."""
+    """Characters that lose marks (those with a combining class), what is left of each, and then the marks themselves, which vanish."""
     src, dst, gone = [], [], []
-    for c in map(chr, range(0x80, 0xFFFF)):
-        if 0xD800 <= ord(c) < 0xE000:
-            continue
-        if unicodedata.category(c) == "Mn":
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]):
+        if unicodedata.combining(c):
             gone.append(c)
             continue
-        bare = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"))
+        if not unicodedata.decomposition(c) or unicodedata.decomposition(c).startswith("<"):
+            continue
+        bare = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)))
         if len(bare) == 1 and bare != c:
             src.append(c)
             dst.append(bare)
     return "".join(src + gone), "".join(dst)
 
 
+_MARKS = cache(_accents)
+
+
+def mapped(text: Column, table: dict[str, str]) -> Column:
+    """Each character that table has becomes what it says there, all at once; that may be no letter or several."""
+    one = {k: v for k, v in table.items() if len(v) == 1}
+    many = {k: v for k, v in table.items() if len(v) != 1}
+    # several letters go by way of a character of the private use area
+    stand = {k: chr(0xF8FF - i) for i, k in enumerate(many)}
+    out = F.translate(text, "".join([*one, *stand]), "".join([*one.values(), *stand.values()])) if table else text
+    for k, v in many.items():
+        out = F.replace(out, F.lit(stand[k]), F.lit(v))
+    return out
+
+
 @dataclass(frozen=True)
 class Language:
     """Spelling of a language: multi-letter and single units, letters to fold, letters to romanise, contrasts to report."""
@@ -38,6 +54,7 @@ class Language:
     singles: frozenset[str]
     fold: dict[str, str] = field(default_factory=dict)
     romanize: dict[str, str] = field(default_factory=dict)
+    # Characters that vanish inside words.
     apostrophes: str = "'’‘ʼ`´"
     contrasts: tuple[tuple[str, str], ...] = ()
 
@@ -60,30 +77,38 @@ class Language:
         many = sorted(self.multigraphs, key=lambda m: (-len(m), m))
         return f"({'|'.join([*many, '[' + ''.join(sorted(self.singles)) + ']'])})"
 
+    @cached_property
+    def silent(self) -> list[str]:
+        """Units whose romanisation has no letter."""
+        return [u for u in self.inventory if not re.sub("[^a-z]", "", "".join(self.romanize.get(c, c) for c in u))]
+
     def strip_accents(self, text: Column) -> Column:
-        return F.translate(text, *_accents())
+        return F.translate(text, *_MARKS())
 
     def normalize(self, text: Column) -> Column:
         low = F.lower(self.strip_accents(text))
-        src = "".join(k for k, v in self.fold.items() if len(v) == 1)
-        folded = F.translate(low, src + self.apostrophes, "".join(self.fold[c] for c in src)) if src or self.apostrophes else low
-        words = F.regexp_replace(folded, r"(?U)\S*\p{Nd}\S*", " ")
+        folded = mapped(low, self.fold | dict.fromkeys(self.apostrophes, ""))
+        # a word with a digit goes; it is looked at from its start alone
+        words = F.regexp_replace(folded, r"(?U)(?<!\S)[^\s\p{Nd}]*+\p{Nd}\S*", " ")
         return F.trim(F.regexp_replace(words, f"[^{self.alphabet}]+", " "))
 
     def segment_word(self, word: Column) -> Column:
         return F.regexp_extract_all(word, F.lit(self.pattern), F.lit(1))
 
+    def _spoken(self, units: Column) -> Column:
+        return F.filter(units, lambda u: ~u.isin(self.silent)) if self.silent else units
+
     def units(self, text: Column) -> Column:
-        """All units of a text; no unit spans a space."""
-        return F.regexp_extract_all(self.normalize(text), F.lit(self.pattern), F.lit(1))
+        """All units of a text that have a romanisation; no unit spans a space."""
+        return self._spoken(F.regexp_extract_all(self.normalize(text), F.lit(self.pattern), F.lit(1)))
 
     def segment(self, text: Column) -> Column:
         """array<array<string>>: units by word; units without a romanisation and words left empty go."""
-        words = F.transform(F.split(self.normalize(text), " "), self.segment_word)
+        words = F.transform(F.split(self.normalize(text), " "), lambda w: self._spoken(self.segment_word(w)))
         return F.filter(words, lambda w: F.size(w) > 0)
 
     def romanize_unit(self, unit: Column) -> Column:
-        return F.regexp_replace(F.translate(unit, "".join(self.romanize), "".join(self.romanize.values())), "[^a-z]", "")
+        return F.regexp_replace(mapped(unit, self.romanize), "[^a-z]", "")
 
     def aligner_token(self, unit: Column) -> Column:
         return F.array_join(F.filter(F.split(self.romanize_unit(unit), ""), lambda c: c != ""), " ")
@@ -112,6 +137,13 @@ LANGUAGES: dict[str, Language] = {"twi": TWI}
 ALIASES: dict[str, str] = {"tw": "twi", "aka": "twi", "ak": "twi"}
 
 
+def missing_characters(language: Language, known: DataFrame, column: str = "character") -> DataFrame:
+    """Letters that the language's romanised units need and an aligner's vocabulary (known) lacks, by letter; an empty result lets it load."""
+    needed = sorted({c for u in language.inventory for c in re.sub("[^a-z]", "", "".join(language.romanize.get(x, x) for x in u))})
+    wanted = known.sparkSession.sql("SELECT explode(split('" + ",".join(needed) + f"', ',')) AS {column}")
+    return wanted.join(known, column, "left_anti").orderBy(column)
+
+
 def get_language(code: str) -> Language:
     key = ALIASES.get(code.lower(), code.lower())
     if key not in LANGUAGES:

@@ -26,8 +26,8 @@ def summary(report: DataFrame) -> DataFrame:
 
 
 def contrasts(conf: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each pair (a, b): recalls, cross-confusions and supports; null without support. pairs is a short static list."""
-    j = conf.join(F.broadcast(pairs), (F.col("ref") == F.col("a")) | (F.col("ref") == F.col("b")))
+    """For each pair (a, b): recalls, cross-confusions and supports; null without support."""
+    j = conf.join(pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("ref")), "ref")
     n = lambda r, p: F.sum(F.when((F.col("ref") == F.col(r)) & (F.col("pred") == F.col(p)), F.col("n")).otherwise(0))
     s = lambda r: F.sum(F.when(F.col("ref") == F.col(r), F.col("n")).otherwise(0))
     g = j.groupBy("a", "b").agg(s("a").alias("support_a"), s("b").alias("support_b"), n("a", "a").alias("aa"), n("a", "b").alias("ab"), n("b", "b").alias("bb"), n("b", "a").alias("ba"))

@@ -15,6 +15,9 @@ from loomspark.functions import audio
 from loomspark.functions.distance import cer, wer
 
 
+MOST_PATTERNS = 1000
+
+
 def probe_report(hits: DataFrame, least: int = 20) -> DataFrame:
     """Of (class, margin, hit): accuracy by margin over all classes (class null), and by margin and class for classes seen `least` times.
 
@@ -25,9 +28,9 @@ def probe_report(hits: DataFrame, least: int = 20) -> DataFrame:
 
 
 def probe_contrasts(hits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, margin, n, accuracy over both classes of each pair (a short static list)."""
+    """a, b, margin, n, accuracy over both classes of each pair."""
     h = hits.select("class", F.coalesce("margin", F.lit(-1)).alias("margin"), F.col("hit").cast("int").alias("hit"))
-    j = h.join(F.broadcast(pairs), (F.col("class") == F.col("a")) | (F.col("class") == F.col("b")))
+    j = h.join(pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("class")), "class")
     return j.groupBy("a", "b", "margin").agg(F.count("*").alias("n"), F.avg("hit").alias("accuracy"))
 
 
@@ -55,7 +58,9 @@ def running_mean(steps: DataFrame, group: str, n: str, *values: str) -> DataFram
 
 
 def artifacts(expected: DataFrame, listing: DataFrame) -> DataFrame:
-    """artifact, files, bytes, found: what of the expected path patterns (SQL LIKE; a short static list) a listing holds."""
+    """artifact, files, bytes, found: what of the expected path patterns (SQL LIKE, MOST_PATTERNS at most) a listing holds."""
+    if (n := expected.count()) > MOST_PATTERNS:
+        raise ValueError(f"{n} patterns; every path is held against each, so there may be {MOST_PATTERNS}")
     held = listing.join(F.broadcast(expected), F.expr("path LIKE pattern")).groupBy("artifact").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
     return expected.select("artifact").join(held, "artifact", "left").na.fill(0, ["files", "bytes"]).withColumn("found", F.col("files") > 0)
 

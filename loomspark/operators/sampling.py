@@ -14,6 +14,37 @@ def cap_per_group(df: DataFrame, group: str, key: str, cap: int, seed: int = 0)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
 
 
+def first_by_hash(df: DataFrame, key: str, quota: DataFrame | int, group: str | None = None, seed: int = 0) -> DataFrame:
+    """The first rows in the order of their hashes: `quota` of all, or of each group as many as a table (group, quota) says.
+
+    Rows are counted by group and by the first 16 bits of the hash; that tells which of these cells are taken whole, and only those
+    that are cut are sorted, so no task sorts a whole group. Rows of one id in a cut cell are ranked among themselves."""
+    g = F.coalesce(F.col(group), F.lit("?")) if group else F.lit("all")
+    k = order_key(seed, F.col(key))
+    hashed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), g.alias("_g"), k.alias("_k"), F.conv(F.substring(k, 1, 4), 16, 10).cast("int").alias("_cell"))
+    cells = hashed.groupBy("_g", "_cell").agg(F.count("*").alias("_n"))
+    wanted = quota.select(F.col(quota.columns[0]).alias("_g"), F.col(quota.columns[1]).alias("_q")) if isinstance(quota, DataFrame) else df.sparkSession.range(1).select(F.lit("all").alias("_g"), F.lit(quota).cast("long").alias("_q"))
+    w = Window.partitionBy("_g").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.withColumn("_b", F.coalesce(F.sum("_n").over(w), F.lit(0))).join(wanted, "_g")
+    # of each group: the first cell that is not taken whole, and how many rows of it are
+    cut = before.where(F.col("_b") + F.col("_n") > F.col("_q")).groupBy("_g").agg(F.min(F.struct("_cell", (F.col("_q") - F.col("_b")).alias("left"))).alias("_c"))
+    placed = hashed.join(wanted.join(cut, "_g", "left"), "_g")
+    whole = placed.where(F.col("_c").isNull() | (F.col("_cell") < F.col("_c._cell")))
+    part = placed.where((F.col("_cell") == F.col("_c._cell")) & (F.col("_c.left") > 0))
+    ranked = part.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_k", F.col(f"_row.`{key}`")))).where(F.col("_r") <= F.col("_c.left"))
+    return whole.select("_row.*").unionByName(ranked.select("_row.*"))
+
+
+def places(df: DataFrame, key: str, seed: int = 0, each: int = 1 << 20) -> DataFrame:
+    """Places (from 1) in a seeded shuffle: equal ranges of the hash with `each` rows or so are sorted, and their sizes added up."""
+    cells = max(1, -(-df.count() // each))
+    k = order_key(seed, F.col(key))
+    b = df.withColumn("_k", k).withColumn("_b", F.floor(F.conv(F.substring("_k", 1, 12), 16, 10).cast("long") * F.lit(cells) / F.lit(float(1 << 48))).cast("long"))
+    before = b.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_base"))
+    r = b.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_k", key))).join(before, "_b")
+    return r.select(*df.columns, (F.col("_r") + F.col("_base")).alias("place"))
+
+
 def quotas(real: DataFrame, stratum: str, take: int, balance: str = "proportional") -> DataFrame:
     """stratum, n, quota: proportional rounds each share half-even; equal gives the remainder to the first strata in order; a pool that is too small gives all."""
     n = real.groupBy(F.coalesce(F.col(stratum), F.lit("?")).alias("stratum")).agg(F.count("*").alias("n"))
@@ -32,16 +63,14 @@ def quotas(real: DataFrame, stratum: str, take: int, balance: str = "proportiona
 def stratified_sample(real: DataFrame, stratum: str, key: str, take: int, balance: str = "proportional", seed: int = 0) -> DataFrame:
     """take rows by quota; what small pools leave short is drawn uniformly from the rest, by row, never with replacement."""
     q = quotas(real, stratum, take, balance)
-    w = Window.partitionBy("_s").orderBy(order_key(seed, F.col(key)), key)
-    q = q.withColumnRenamed("stratum", "_stratum").withColumnRenamed("n", "_n").withColumnRenamed("quota", "_quota")
-    ranked = real.withColumn("_s", F.coalesce(F.col(stratum), F.lit("?"))).withColumn("_r", F.row_number().over(w)).join(q, F.col("_s") == F.col("_stratum"))
-    chosen = ranked.where(F.col("_r") <= F.col("_quota"))
-    short = q.agg((F.lit(take) - F.sum("_quota")).alias("short"))
-    rest = ranked.where(F.col("_r") > F.col("_quota"))
-    # a draw of some rows from the rest: a top-n by hash, of bounded size, never a window over all rows
-    missing = max(0, int(short.first()[0] or 0))
-    extra = rest.orderBy(order_key(seed + 1, F.col(key)), key).limit(missing)
-    return chosen.unionByName(extra).select(*real.columns)
+    chosen = first_by_hash(real, key, q.select("stratum", "quota"), stratum, seed)
+    missing = max(0, take - int(q.agg(F.sum("quota")).first()[0] or 0))
+    if not missing:
+        return chosen
+    # every pool that is not exhausted has more rows than its quota: the draw is from what the first one left
+    left = q.where("n > quota").select("stratum")
+    rest = real.join(chosen.select(F.col(key).alias("_taken")).distinct(), F.col(key) == F.col("_taken"), "left_anti") if left.limit(1).count() else real.limit(0)
+    return chosen.unionByName(first_by_hash(rest, key, missing, None, seed + 1))
 
 
 def mix(synthetic: DataFrame, real: DataFrame, stratum: str, key: str, ratio: float = 1.0, balance: str = "proportional", seed: int = 0, shuffle: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -74,27 +103,35 @@ def machine_cap(rows: DataFrame, source: str, human: list, key: str, ratio: floa
     """All human rows, and floor(ratio * human) of the others by hash."""
     people = rows.where(F.col(source).isin(human))
     most = int(people.count() * ratio)
-    return people.unionByName(rows.where(~F.col(source).isin(human)).orderBy(order_key(seed, F.col(key)), key).limit(most))
+    return people.unionByName(first_by_hash(rows.where(~F.col(source).isin(human)), key, most, None, seed))
 
 
 def clean_ref_augment(rows: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
     """Adds copies of rows with reference units whose source is the reference: origin clean-ref, int(n * ratio) or as many as there are."""
     pool = rows.where(F.col("reference_units").isNotNull() & (F.col("reference_units") != ""))
     want = min(int(rows.count() * ratio), pool.count())
-    extra = pool.orderBy(order_key(seed, F.col(key)), key).limit(want).withColumn("source_text", F.replace("reference_units", F.lit(" "), F.lit(""))).withColumn("origin", F.lit("clean-ref"))
+    extra = first_by_hash(pool, key, want, None, seed).withColumn("source_text", F.replace("reference_units", F.lit(" "), F.lit(""))).withColumn("origin", F.lit("clean-ref"))
     return rows.unionByName(extra.select(*rows.columns))
 
 
 def length_batches(df: DataFrame, group: str, length: str, key: str, budget: int) -> DataFrame:
-    """Greedy batches of each group, shortest rows first, whose padded size stays within the budget: _batch."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(length).cast("long").alias("n"), F.col(key).alias("k"))))
-    zero = F.struct(F.lit(0).alias("b"), F.lit(0).alias("c"), F.array().cast("array<int>").alias("out"))
+    """Greedy batches of each group, shortest rows first, whose padded size stays within the budget: _batch.
 
-    def step(s, x):
-        full = (s["c"] > 0) & (x["n"] * (s["c"] + 1) > budget)
-        b = F.when(full, s["b"] + 1).otherwise(s["b"])
-        return F.struct(b.alias("b"), F.when(full, 1).otherwise(s["c"] + 1).alias("c"), F.concat(s["out"], F.array(b)).alias("out"))
+    Only how many rows have each length matters: of a group's different lengths in order it follows where each begins, and
+    a row's batch from its rank within its length."""
+    rows = df.withColumn("_n", F.col(length).cast("long"))
+    counts = rows.groupBy(group, "_n").agg(F.count("*").cast("long").alias("m")).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_n", "m"))).alias("sizes"))
+    zero = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), F.array().cast("array<struct<n:bigint,b:bigint,c:bigint,most:bigint>>").alias("out"))
 
-    g = df.groupBy(group).agg(rows.alias("rows"))
-    z = g.select(group, F.explode(F.arrays_zip("rows", F.aggregate("rows", zero, step)["out"].alias("b"))).alias("x"))
-    return z.select(group, F.col("x.rows.k").alias(key), F.col("x.rows.n").alias(length), F.col("x.b").alias("_batch"))
+    def step(s, x):
+        most = F.when(x["_n"] > 0, F.greatest(F.floor(F.lit(budget) / F.greatest(x["_n"], F.lit(1))), F.lit(1))).otherwise(F.lit(2**40)).cast("long")
+        full = s["c"] >= most
+        b, c = F.when(full, s["b"] + 1).otherwise(s["b"]), F.when(full, F.lit(0).cast("long")).otherwise(s["c"])
+        more = F.floor((c + x["m"] - 1) / most)
+        begun = F.array(F.struct(x["_n"].alias("n"), b.alias("b"), c.alias("c"), most.alias("most")))
+        return F.struct((b + more).alias("b"), (c + x["m"] - more * most).alias("c"), F.concat(s["out"], begun).alias("out"))
+
+    begin = counts.select(F.col(group).alias("_g"), F.explode(F.aggregate("sizes", zero, step)["out"]).alias("x")).select("_g", F.col("x.n").alias("_l"), "x.b", "x.c", "x.most")
+    rank = F.row_number().over(Window.partitionBy(group, "_n").orderBy(key)) - 1
+    j = rows.withColumn("_r", rank).join(begin, F.col(group).eqNullSafe(F.col("_g")) & F.col("_n").eqNullSafe(F.col("_l")))
+    return j.select(group, key, F.col("_n").alias(length), (F.col("b") + F.floor((F.col("c") + F.col("_r")) / F.col("most"))).cast("int").alias("_batch"))

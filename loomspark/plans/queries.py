@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.distance import cer, edit_distance, wer
-from loomspark.functions.hashing import order_key, split_of, subset_of, text_bucket, unit_interval
+from loomspark.functions.hashing import split_of, subset_of, text_bucket, unit_interval
 from loomspark.functions.text import TWI
 from loomspark.operators import decode, frames, metrics, pairs, runs, sampling, stats
 from loomspark.sources import io
@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where a scan of few files gives fewer; for rows that cost more to work on than to move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 _FOLD_SRC = "".join(TWI.fold) + TWI.apostrophes.replace("'", "''")
 _NORM = f"trim(regexp_replace(regexp_replace(translate(lower(strip_accents(text)), '{_FOLD_SRC}', '{''.join(TWI.fold.values())}'), '\\S*\\p{{Nd}}\\S*', ' ', 'g'), '[^{TWI.alphabet}]+', ' ', 'g'))"
 _UNITS = f"regexp_extract_all({_NORM}, '{TWI.pattern}')"
@@ -41,7 +47,7 @@ _INV = "[" + ", ".join(f"'{u}'" for u in TWI.inventory) + "]"
 
 @query(f"WITH u AS (SELECT doc_id, {_UNITS} AS u, {_WORDS} AS w FROM documents) SELECT doc_id, len(w)::INTEGER AS n_words, len(u)::INTEGER AS n_units, md5(array_to_string(u, ' ')) AS units_md5 FROM u")
 def text_to_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", TWI.segment(F.col("text")).alias("w"), TWI.units(F.col("text")).alias("u"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", TWI.segment(F.col("text")).alias("w")).withColumn("u", F.flatten("w"))
     return d.select("doc_id", F.size("w").alias("n_words"), F.size("u").alias("n_units"), F.md5(F.array_join("u", " ").cast("binary")).alias("units_md5"))
 
 
@@ -95,8 +101,8 @@ _PREV = f"t AS ({_TURNS}), p AS (SELECT a.conv_id, a.turn, a.u AS hyp, b.u AS re
 
 
 def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", TWI.units(F.col("text")).alias("u"))
-    p = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("u").alias("ref")).join(t.withColumnRenamed("u", "hyp"), ["conv_id", "turn"])
+    t = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", TWI.units(F.col("text")).alias("u"))
+    p = spread(t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("u").alias("ref")).join(t.withColumnRenamed("u", "hyp"), ["conv_id", "turn"]))
     return p.select("conv_id", "turn", F.size("hyp").cast("long").alias("hyp_len"), F.size("ref").cast("long").alias("ref_len"), edit_distance(F.col("hyp"), F.col("ref")).cast("long").alias("edits"))
 
 
@@ -418,7 +424,7 @@ def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH u AS (SELECT doc_id, source, {_UNITS} AS u FROM documents) SELECT source, count(*) AS docs, sum(len(u))::BIGINT AS units FROM u WHERE len(u) >= 5 GROUP BY source")
 def units_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: raw text to units, gated, counted by source."""
-    d = table(spark, sf_dir, "documents").select("source", F.size(TWI.units(F.col("text"))).alias("n")).where("n >= 5")
+    d = spread(table(spark, sf_dir, "documents").select("source", "text")).select("source", F.size(TWI.units(F.col("text"))).alias("n")).where("n >= 5")
     return d.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n").alias("units"))
 
 
@@ -436,13 +442,8 @@ def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT a.doc_id, a.source, row_number() OVER (ORDER BY md5('1:' || a.doc_id), a.doc_id)::INTEGER AS place FROM documents a")
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places in a seeded shuffle: ranks come from range partitions and their sizes, not from one task."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", order_key(1, F.col("doc_id")).alias("k"))
-    b = d.withColumn("b", F.substring("k", 1, 2))
-    before = b.groupBy("b").agg(F.count("*").alias("n")).select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("base"))
-    r = b.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("k", "doc_id"))).join(before, "b")
-    return r.select("doc_id", "source", (F.col("r") + F.col("base")).cast("int").alias("place"))
-
-
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return sampling.places(d, "doc_id", 1).select("doc_id", "source", F.col("place").cast("int").alias("place"))
 
 
 _PROBE = "h AS (SELECT (user_id % 7)::INTEGER AS class, CASE event_id % 4 WHEN 0 THEN -1 ELSE 20 * (event_id % 4)::INTEGER END AS margin, CASE WHEN coalesce(value, 0) >= 30 THEN 1 ELSE 0 END AS hit FROM events)"

@@ -9,11 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import audio, distance, hashing
-from loomspark.functions.text import TWI, Language, get_language
+from loomspark.functions.distance import edit_distance
+from loomspark.functions.text import TWI, Language, get_language, missing_characters
 
 
 def python_units(text: str) -> str:
-    t = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+    t = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
     t = unicodedata.normalize("NFC", t).lower().translate({ord(k): v for k, v in TWI.fold.items()} | {ord(c): None for c in TWI.apostrophes})
     t = re.sub(rf"[^{TWI.alphabet}]+", " ", " ".join(w for w in t.split() if not any(c.isdecimal() for c in w)))
     return " ".join(re.findall(TWI.pattern, t))
@@ -77,3 +78,39 @@ def test_log_mel():
     x = np.sin(2 * np.pi * 1000 * np.arange(16000) / 16000)
     m = audio.log_mel(x)
     assert m.shape == (101, 40) and m.mean(axis=0).argmax() == np.abs((700 * (10 ** (np.linspace(2595 * np.log10(1 + 20 / 700), 2595 * np.log10(1 + 7600 / 700), 42) / 2595) - 1))[1:-1] - 1000).argmin()
+
+
+def plain_normal(text: str, lang: Language) -> str:
+    """The definition, letter by letter: marks with a combining class go, letters fold all at once, words with a digit and foreign letters give way to spaces."""
+    bare = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))).lower()
+    folded = "".join("" if c in lang.apostrophes else lang.fold.get(c, c) for c in bare)
+    words = [" " if any(unicodedata.category(c) == "Nd" for c in w) else w for w in re.split(r"(\s+)", folded)]
+    return " ".join("".join(c if c in lang.alphabet else " " for c in "".join(words)).split())
+
+
+def test_normal_form_by_definition(spark):
+    odd = Language("odd", "Odd", frozenset({"ss", "ng"}), frozenset("abcdegnostz'") - {"'"}, {"ß": "ss", "s": "z", "ŋ": "ng", "x": "", "œ": "oe"}, {"z": "", "e": "ei"})
+    texts = ["kaँba", "Straße ŋa xaxb œz", "é é ẹ́ ̖a", "a1b c d2 33 ٣x y", "don’t ‘a’", "", "ÅÄÖ åa𝅘𝅥 aᴖ5", "sß sŋ"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", odd.normalize(F.col("t")).alias("n"), odd.segment(F.col("t")).alias("w"), odd.units(F.col("t")).alias("u"), TWI.normalize(F.col("t")).alias("twi")).collect()
+    for r in got:
+        assert re.sub(" +", " ", r.n) == plain_normal(r.t, odd) and re.sub(" +", " ", r.twi) == plain_normal(r.t, TWI), r.t
+        words = [[u for u in re.findall(odd.pattern, w) if u != "z"] for w in plain_normal(r.t, odd).split()]
+        assert r.w == [w for w in words if w] and r.u == [u for w in words for u in w]
+    assert odd.silent == ["z"] and TWI.silent == []
+    assert spark.range(1).select(odd.romanize_unit(F.lit("eaz")).alias("r")).first().r == "eia"
+
+
+def test_missing_characters(spark):
+    known = spark.createDataFrame([(c,) for c in "abcdefghijklmnopqrst"], "character string")
+    assert [r.character for r in missing_characters(TWI, known).collect()] == list("uvwxyz")
+
+
+def test_edit_distance_of_many_different_tokens(spark):
+    n = 30_000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("a"), i)).alias("a"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("b"), i)).alias("b"))
+    few = df.select(F.slice("a", 1, 60).alias("a"), F.concat(F.slice("a", 3, 50), F.slice("b", 1, 9)).alias("b"))
+    assert few.select(edit_distance(F.col("a"), F.col("b")).alias("d")).first().d == 2 + 9
+    # each of many different tokens has a character of its own, also beyond the surrogates
+    n = 70_000
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string")).alias("a"))
+    assert long.select(edit_distance(F.slice("a", 69_990, 1), F.col("a")).alias("d")).first().d == n - 1

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +130,35 @@ def test_incremental(spark, tmp_path):
         spark.range(k * 5, k * 5 + 5).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         process_new(spark, str(tmp_path / "in"), schema, lambda d: d, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(10))
+
+
+def test_draws_in_hash_order_without_sorting_a_group(spark):
+    """Quotas of a group that holds most rows, of one that is too small, ties of ids, and of none."""
+    df = spark.range(3000).select((F.col("id") % 2990).alias("k"), F.when(F.col("id") < 2500, "hot").when(F.col("id") < 2990, "b").alias("g"), F.lit(1).alias("_row"))
+    quota = spark.createDataFrame([("hot", 700), ("b", 490), ("?", 3)], "s string, q long")
+    got = sampling.first_by_hash(df, "k", quota, "g", 4)
+    assert got.columns == df.columns
+    md5 = lambda k: hashlib.md5(f"4:{k}".encode()).hexdigest()
+    want = sorted(range(2500), key=lambda k: (md5(k), k))[:700]
+    assert sorted(r.k for r in got.where("g = 'hot'").collect()) == sorted(want) and got.where("g = 'b'").count() == 490 and got.where("g is null").count() == 3
+    assert sampling.first_by_hash(df, "k", 0).count() == 0 and sampling.first_by_hash(df, "k", 9999).count() == 3000 and sampling.first_by_hash(df.limit(0), "k", 5).count() == 0
+
+
+def test_places_over_many_cells(spark):
+    df = spark.range(500).withColumnRenamed("id", "k")
+    got = {r.k: r.place for r in sampling.places(df, "k", 2, each=20).collect()}
+    assert got == {k: n for n, k in enumerate(sorted(range(500), key=lambda k: hashlib.md5(f"2:{k}".encode()).hexdigest()), 1)}
+
+
+def test_length_batches_by_a_plain_loop(spark):
+    rng = random.Random(3)
+    table = [(k, rng.choice("ab"), rng.choice((0, 1, 5, 5, 5, 7, 40, 90, 200))) for k in range(400)]
+    want = {}
+    for g in "ab":
+        b = c = 0
+        for n, k in sorted((n, k) for k, x, n in table if x == g):
+            if c and n * (c + 1) > 100:
+                b, c = b + 1, 0
+            want[k], c = b, c + 1
+    got = sampling.length_batches(spark.createDataFrame(table, "k long, g string, n int"), "g", "n", "k", 100)
+    assert {r.k: r._batch for r in got.collect()} == want
