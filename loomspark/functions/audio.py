@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ def n_frames(n_samples):
     return n_samples // HOP + 1
 
 
+@cache
 def mel_filters() -> np.ndarray:
     """Triangles on the HTK mel scale, without area normalisation: [N_FFT // 2 + 1, N_MELS]."""
     mel = lambda f: 2595 * np.log10(1 + f / 700)
@@ -67,3 +69,9 @@ def _decoded(raw: pd.Series) -> pd.DataFrame:
 def decode_pcm(raw_col: Column) -> Column:
     """struct<samples, error> of a column of WAV bytes."""
     return F.pandas_udf(_decoded, "struct<samples:array<float>, error:string>")(raw_col)
+
+
+def scaled(samples: Column, peak: float = 1.5) -> Column:
+    """Samples in -1..1: those of 16-bit integers, whose peak is beyond `peak`, are divided by 32768."""
+    most = F.aggregate(samples, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x).cast("double")))
+    return F.transform(samples, lambda x: F.when(most > peak, x.cast("double") / 32768.0).otherwise(x.cast("double")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IGNORE, SILENCE = -100, 0
@@ -71,3 +71,87 @@ def padded(chunk: DataFrame, track: DataFrame, size: int, utt: str = "utt") -> D
     at = chunk.select(utt, "start", F.explode(F.sequence("start", F.col("start") + F.col("valid_len") - 1)).alias("t")).join(track, [utt, "t"])
     got = at.groupBy(utt, "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "label"))), lambda x: x["label"]).alias("labels"))
     return got.withColumn("labels", F.concat("labels", F.array_repeat(F.lit(IGNORE), F.lit(size) - F.size("labels"))))
+
+
+def above_floor(utterances: DataFrame, score: str, least: float) -> DataFrame:
+    """Utterances whose score reaches the floor; of the others there are no frames and no chunks. A null score doesn't reach it."""
+    return utterances.where(F.col(score) >= least)
+
+
+def floored(track: DataFrame, utterances: DataFrame, score: str, least: float, utt: str = "utt") -> DataFrame:
+    """The track with every frame of an utterance below the floor ignored, as kind low_score."""
+    good = above_floor(utterances, score, least).select(utt).distinct().withColumn("_good", F.lit(True))
+    j = track.join(good, utt, "left")
+    return j.select(utt, "t", F.when(F.col("_good"), F.col("label")).otherwise(IGNORE).alias("label"), F.when(F.col("_good"), F.col("kind")).otherwise("low_score").alias("kind"))
+
+
+def track_counters(track: DataFrame, chunk: DataFrame, utt: str = "utt") -> DataFrame:
+    """One row: what track_stats() counts over utterances that reach the floor, their number, those below it, and chunks."""
+    own = F.col("kind") != "low_score"
+    n = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    counted = track.agg(n("silence"), n("short_gap"), n("loud_gap"), F.count_if(own & (F.col("label") >= 0)).alias("labelled"), F.count_if(own).alias("frames"), F.count_distinct(F.when(own, F.col(utt))).alias("utts"), F.count_distinct(F.when(~own, F.col(utt))).alias("low_score_utts"))
+    return counted.join(chunk.agg(F.count("*").alias("chunks")))
+
+
+def class_counts(chunk: DataFrame, track: DataFrame, vocab: DataFrame) -> DataFrame:
+    """class, n for every class of the vocabulary: 0 where no chunk frame has it."""
+    n = chunk_label_counts(chunk, track).select(F.col("label").alias("class"), "n")
+    return vocab.select("class").join(n, "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def zip_by_position(left: DataFrame, right: DataFrame, shard: str, at: str) -> DataFrame:
+    """Rows of two tables that have the same place in the same shard; a place that only one of them has is an error."""
+    a, b = left.withColumn("_l", F.lit(True)), right.withColumn("_r", F.lit(True))
+    j = a.join(b, [shard, at], "full")
+    wrong = F.raise_error(F.concat(F.lit("row "), F.col(at).cast("string"), F.lit(" of shard "), F.col(shard).cast("string"), F.lit(" is in one table only"))).cast("boolean")
+    return j.where(F.when(F.col("_l").isNull() | F.col("_r").isNull(), wrong).otherwise(True)).drop("_l", "_r")
+
+
+def clamp_span(start_s: Column, end_s: Column, n_frames: Column, frames_per_s: int = 100) -> Column:
+    """struct<start, end> in frames: seconds rounded half-even; start within 0..n-1, end within start+1..n, so that spans may overlap by a frame."""
+    at = lambda x: F.bround(x * frames_per_s).cast("long")
+    s = F.greatest(F.lit(0).cast("long"), F.least(at(start_s), n_frames - 1))
+    return F.struct(s.alias("start"), F.greatest(s + 1, F.least(at(end_s), n_frames)).alias("end"))
+
+
+def token_spans(tokens: DataFrame, frame_s: float, wildcard: str = "<star>") -> DataFrame:
+    """tokens (token, first, last, scores) without wildcards: start and end in seconds, and the mean score of the frames between (0 for none)."""
+    size = F.col("last") - F.col("first")
+    total = F.aggregate(F.slice("scores", F.col("first") + 1, F.greatest(size, F.lit(0))), F.lit(0.0), lambda a, x: a + x)
+    return tokens.where(F.col("token") != wildcard).withColumns({"start_s": F.col("first") * frame_s, "end_s": F.col("last") * frame_s, "score": F.when(size > 0, total / size).otherwise(F.lit(0.0))}).drop("scores")
+
+
+def tiles(utterances: DataFrame, size: int, margin: int, utt: str = "utt", n: str = "n_frames") -> DataFrame:
+    """(utt, from, to, keep_from, keep_to): stretches that are computed with margins on both sides, and what of each is kept. The kept parts cover
+    every frame once; with margins as wide as the context is, tiles give what one pass gives."""
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1, F.lit(size).cast("long")))
+    t = utterances.where(F.col(n) > 0).select(utt, F.col(n).cast("long").alias("_n"), begin.alias("keep_from"))
+    end = F.least(F.col("keep_from") + size, F.col("_n"))
+    return t.select(utt, F.greatest(F.col("keep_from") - margin, F.lit(0)).alias("from"), F.least(end + margin, F.col("_n")).alias("to"), "keep_from", end.alias("keep_to"))
+
+
+def time_mask(key: Column, n: Column, most: int, seed: int = 0) -> Column:
+    """struct<start, end>: a random stretch of up to `most` of n frames, by a hash of the key."""
+    u = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{k}:"), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    size = F.least(F.pmod(u(0), F.lit(most + 1)), n)
+    start = F.pmod(u(1), n - size + 1)
+    return F.struct(start.alias("start"), (start + size).alias("end"))
+
+
+def masked(values: Column, mask: Column, fill: Column) -> Column:
+    """An array with fill inside the mask: IGNORE for labels, the mean for features."""
+    return F.transform(values, lambda x, i: F.when((i >= mask["start"]) & (i < mask["end"]), fill).otherwise(x))
+
+
+def ms_to_frames(ms: Column, frame_ms: int = 10, least: int = 0) -> Column:
+    """Whole frames of a length in milliseconds; a stride is one at least."""
+    return F.greatest(F.floor(ms / frame_ms).cast("long"), F.lit(least).cast("long"))
+
+
+def chunk_features(chunk: DataFrame, frame: DataFrame, value: str, size: int, mean: float = 0.0, std: float = 1.0, utt: str = "utt") -> DataFrame:
+    """Chunks with their normalised features and labels as arrays of `size`, padded with 0 and IGNORE. frame: utt, t, value, label."""
+    at = chunk.select(utt, "start", F.explode(F.sequence("start", F.col("start") + F.col("valid_len") - 1)).alias("t")).join(frame, [utt, "t"])
+    rows = F.array_sort(F.collect_list(F.struct("t", ((F.col(value) - mean) / std).alias("x"), "label")))
+    got = at.groupBy(utt, "start").agg(rows.alias("r"))
+    fill = lambda k, v: F.concat(F.transform("r", lambda x: x[k]), F.array_repeat(F.lit(v), F.lit(size) - F.size("r")))
+    return got.select(utt, "start", fill("x", 0.0).alias("features"), fill("label", IGNORE).alias("labels"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.distance import pair_uer
@@ -35,6 +35,43 @@ def pair_gate(source: Column, text: Column, uer: Column, excluded: list, min_cha
     return out.when(uer > max_uer, "uer") if max_uer < 1 else out
 
 
+def maker_gate(text: Column, score: Column, n_ref: Column, uer: Column, min_score: float, min_ref: int, max_uer: float) -> Column:
+    """The first reason not to make a pair of an utterance and its transcription, or null."""
+    blank = text.isNull() | (F.regexp_replace(text, r"(?U)^\s+|\s+$", "") == "")
+    return F.when(blank, "no_text").when(score < min_score, "low_score").when(n_ref < min_ref, "short_reference").when(uer > max_uer, "uer")
+
+
+def defaults(rows: DataFrame, order: str, offset: int = 0) -> DataFrame:
+    """Pairs with all six columns: origin real, source empty, id the row's place from `offset` on where there is none. Rows without units or text go.
+
+    Places follow from a sort in ranges and the ranges' sizes: no task numbers the whole table."""
+    for c in ("origin", "source", "id", "reference_units"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("string"))
+    some = lambda c, v: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), v).alias(c)
+    placed = numbered(rows, order)
+    kept = placed.where("coalesce(units, '') <> '' and coalesce(text, '') <> ''")
+    return kept.select("units", "text", some("origin", F.lit("real")), some("source", F.lit("")), some("id", (F.col("place") + offset).cast("string")), "reference_units")
+
+
+def numbered(rows: DataFrame, order: str, ranges: int = 64) -> DataFrame:
+    """rows with place (from 0) by a numeric column: equal ranges between its least and greatest value are sorted, and their sizes added up. Nulls come first."""
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    width = max((float(hi) - float(lo)) / ranges, 1e-12) if lo is not None else 1.0
+    b = rows.withColumn("_b", F.coalesce(F.least(F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)), F.lit(ranges - 1)).cast("int"), F.lit(-1)))
+    before = b.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_base"))
+    r = b.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1).join(before, "_b")
+    return r.withColumn("place", F.col("_r") + F.col("_base")).drop("_b", "_r", "_base")
+
+
+def replace_split(rows: DataFrame, other: DataFrame, split: str = "test") -> DataFrame:
+    """rows with a split's rows replaced by those of another table, whose missing source and target texts are units and text."""
+    for c, of in (("source_text", "units"), ("target_text", "text")):
+        if c not in other.columns:
+            other = other.withColumn(c, F.col(of))
+    return rows.where(F.col("split") != split).unionByName(other.withColumn("split", F.lit(split)), allowMissingColumns=True)
+
+
 def with_uer(pairs: DataFrame) -> DataFrame:
     """pairs (units, reference_units, space-separated) with uer; null without a reference."""
     tokens = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), " "), lambda x: x != "")

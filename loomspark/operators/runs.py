@@ -65,6 +65,44 @@ def artifacts(expected: DataFrame, listing: DataFrame) -> DataFrame:
     return expected.select("artifact").join(held, "artifact", "left").na.fill(0, ["files", "bytes"]).withColumn("found", F.col("files") > 0)
 
 
+def best(rows: DataFrame, metric: str, ties: str, n: int = 1, higher: bool = False) -> DataFrame:
+    """The n best rows by a metric (least first, unless higher is better), ties by another column; rows without one don't count."""
+    return rows.where(F.col(metric).isNotNull()).orderBy(F.desc(metric) if higher else F.asc(metric), ties).limit(n)
+
+
+def grid_means(rows: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """n and mean values of each setting of a decode grid."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(v).alias(v) for v in values])
+
+
+def key_diff(a: Column, b: Column, first: int = 3) -> Column:
+    """struct<missing, unexpected>: the first keys, in order, that only a or only b has."""
+    only = lambda x, y: F.slice(F.array_sort(F.array_except(x, y)), 1, first)
+    return F.struct(only(a, b).alias("missing"), only(b, a).alias("unexpected"))
+
+
+def without(entries: Column, keys: list[str]) -> Column:
+    """A map without some keys."""
+    return F.map_filter(entries, lambda k, _: ~k.isin(keys))
+
+
+def unprefixed(entries: Column, prefix: str) -> Column:
+    """Of a map the entries whose key has the prefix, without it."""
+    return F.transform_keys(F.map_filter(entries, lambda k, _: k.startswith(prefix)), lambda k, _: F.substring(k, F.lit(len(prefix) + 1), F.length(k)))
+
+
+def releasable(best_doc: dict[str, Any], last: dict[str, Any], drop: tuple[str, ...] = ("optimizer", "scheduler", "scaler", "best", "stale")) -> dict[str, Any]:
+    """The best checkpoint's description with the last one's weights: what serves to resume goes, the last epoch's metrics come from its history.
+
+    Weights of another shape or with other names are an error that names the first three."""
+    mine, other = best_doc["weights"], last["weights"]
+    if wrong := sorted(set(mine) ^ set(other))[:3] or sorted(k for k in mine if getattr(mine[k], "shape", None) != getattr(other[k], "shape", None))[:3]:
+        raise ValueError(f"the checkpoints differ in {', '.join(wrong)}")
+    row = next((r for r in last.get("history", []) if r.get("epoch") == last.get("epoch")), {})
+    metrics = {k.removeprefix("val_"): v for k, v in row.items() if k.startswith("val_")}
+    return {k: v for k, v in best_doc.items() if k not in drop} | {"weights": other, "epoch": last.get("epoch")} | ({"val": metrics} if metrics else {})
+
+
 def provenance(corpus: DataFrame, split: str, sources: dict[str, Any], labels: dict[str, Any], training: dict[str, Any], language: str, commit: str | None = None, extra: dict[str, Any] | None = None) -> dict[str, Any]:
     """An audit document: who made what from which data. corpus has one row for each split (stats.corpus_summary)."""
     rows = [r.asDict(recursive=True) for r in corpus.collect()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.hashing import order_key
@@ -135,3 +135,33 @@ def length_batches(df: DataFrame, group: str, length: str, key: str, budget: int
     rank = F.row_number().over(Window.partitionBy(group, "_n").orderBy(key)) - 1
     j = rows.withColumn("_r", rank).join(begin, F.col(group).eqNullSafe(F.col("_g")) & F.col("_n").eqNullSafe(F.col("_l")))
     return j.select(group, key, F.col("_n").alias(length), (F.col("b") + F.floor((F.col("c") + F.col("_r")) / F.col("most"))).cast("int").alias("_batch"))
+
+
+def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
+    """Rows offset.. of an order: what comes before the costly part of a plan."""
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def first_kept(df: DataFrame, keep: Column, order: list[str], n: int) -> DataFrame:
+    """The first n rows of an order that pass: the limit counts kept rows."""
+    return df.where(keep).orderBy(*order).limit(n)
+
+
+def sample_published(rows: DataFrame, source: str, key: str, take: int, order: str, seed: int = 0, each: int = 4) -> DataFrame:
+    """take rows of all sources in proportion; each source's pool is its first each * take rows by `order`, as they were published."""
+    w = Window.partitionBy(source).orderBy(order, key)
+    pool = rows.withColumn("_p", F.row_number().over(w)).where(F.col("_p") <= each * take).drop("_p")
+    n = rows.groupBy(F.coalesce(F.col(source), F.lit("?")).alias("g")).agg(F.count("*").alias("n"))
+    q = n.join(n.agg(F.sum("n").alias("t"))).select("g", F.bround(take * F.col("n") / F.col("t")).cast("long").alias("q"))
+    return first_by_hash(pool, key, q, source, seed)
+
+
+def jobs(registry: DataFrame, smoke: bool = False) -> DataFrame:
+    """registry (split, shards, target) to one row a shard: split, shard, shards, cap = ceil(target / shards), none without a target; a smoke run takes each split's first."""
+    each = registry.where("shards > 0").select("split", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)).alias("shard"), F.col("shards").cast("long").alias("shards"), F.ceil(F.col("target") / F.col("shards")).cast("long").alias("cap"))
+    return each.where("shard = 0") if smoke else each
+
+
+def samples(rows: DataFrame, order: list[str], n: int = 5, width: int = 80) -> DataFrame:
+    """The first n rows for a report, strings cut to width."""
+    return rows.orderBy(*order).limit(n).select(*[F.left(F.col(c), F.lit(width)).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes])

@@ -58,3 +58,51 @@ def vocab_remap(old: DataFrame, new: DataFrame) -> DataFrame:
     """unit, status (transferred, new, dropped), old_class, new_class: a full outer join by name."""
     j = old.select("unit", F.col("class").alias("old_class")).join(new.select("unit", F.col("class").alias("new_class")), "unit", "full")
     return j.withColumn("status", F.when(F.col("old_class").isNull(), "new").when(F.col("new_class").isNull(), "dropped").otherwise("transferred"))
+
+
+def in_vocabulary(units: DataFrame, vocab: DataFrame) -> DataFrame:
+    return units.join(vocab.select("unit"), "unit", "left_semi")
+
+
+def dropped_units(units: DataFrame, vocab: DataFrame) -> DataFrame:
+    """unit, occurrences of units that the vocabulary lacks."""
+    return units.groupBy("unit").agg(F.count("*").alias("occurrences")).join(vocab.select("unit"), "unit", "left_anti")
+
+
+def inspect(track: DataFrame) -> DataFrame:
+    """label, n, pct of the labelled frames by label, and labelled_pct of all frames; labels that no frame has are left out."""
+    n = track.groupBy("label").agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("_all"), F.sum(F.when(F.col("label") >= 0, F.col("n")).otherwise(0)).alias("_labelled"))
+    return n.where("label >= 0").join(total).select("label", "n", (100 * F.col("n") / F.col("_labelled")).alias("pct"), (100 * F.col("_labelled") / F.col("_all")).alias("labelled_pct"))
+
+
+def most_common(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """The k most frequent values, ties by value: value, n."""
+    return rows.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(k)
+
+
+def pair_totals(parts: DataFrame) -> DataFrame:
+    """Of parts (pairs, refs, uer): all pairs, all reference tokens, and the rate weighted by these."""
+    return parts.agg(F.sum("pairs").alias("pairs"), F.sum("refs").alias("refs"), (F.sum(F.col("uer") * F.col("refs")) / F.greatest(F.sum("refs"), F.lit(1))).alias("uer"))
+
+
+def by_origin(rows: DataFrame, origins: tuple[str, ...] = ("real", "clean-ref", "clean-text")) -> DataFrame:
+    """origin, n: each of the origins, 0 where there is none, and whatever others there are."""
+    known = rows.sparkSession.createDataFrame([(o,) for o in origins], "origin string")
+    n = rows.groupBy("origin").agg(F.count("*").alias("n"))
+    return known.join(n, "origin", "full").select("origin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def shard_summary(utterances: DataFrame, shard: str, seconds: str, size: str, score: str, reason: str) -> DataFrame:
+    """One row a shard: utterances kept, hours, megabytes and mean score of these, and a map of how many were skipped for which reason."""
+    kept = F.col(reason).isNull()
+    own = lambda c: F.when(kept, F.col(c))
+    base = utterances.groupBy(shard).agg(F.count_if(kept).alias("utterances"), (F.coalesce(F.sum(own(seconds)), F.lit(0.0)) / 3600).alias("hours"), (F.coalesce(F.sum(own(size)), F.lit(0)) / 1e6).alias("mb"), F.avg(own(score)).alias("mean_score"))
+    why = utterances.where(~kept).groupBy(shard, reason).agg(F.count("*").alias("n")).groupBy(shard).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(reason, "n")))).alias("skipped"))
+    return base.join(why, shard, "left").withColumn("skipped", F.coalesce("skipped", F.create_map().cast("map<string,bigint>")))
+
+
+def unit_report(rows: DataFrame, unit: str, duration: str, score: str, threshold: float, least: int = 20) -> DataFrame:
+    """Of units seen `least` times: n, mean and median duration, mean and median score, and the share of scores below the threshold."""
+    g = rows.groupBy(unit).agg(F.count("*").alias("n"), F.avg(duration).alias("mean"), F.median(duration).alias("median"), F.avg(score).alias("mean_score"), F.median(score).alias("median_score"), (100 * F.avg((F.col(score) < threshold).cast("int"))).alias("dropped_pct"))
+    return g.where(F.col("n") >= least)

@@ -415,7 +415,10 @@ def shard_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(io.select_shards(F.col("p_size") + 10, 2 + F.col("p_partkey") % 9), ",").alias("shards"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT doc_id, source, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS i FROM documents),
+r AS (SELECT doc_id, source, n, i, 0 AS batch, 1 AS c FROM o WHERE i = 1
+UNION ALL SELECT o.doc_id, o.source, o.n, o.i, CASE WHEN o.n * (r.c + 1) > 50000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN o.n * (r.c + 1) > 50000 THEN 1 ELSE r.c + 1 END FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1)
+SELECT doc_id, source, n AS n_chars, batch::INTEGER AS batch FROM r""")
 def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sampling.length_batches(d, "source", "n_chars", "doc_id", 50_000).withColumnRenamed("_batch", "batch")
@@ -501,3 +504,7 @@ def posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     mel = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("utt"), log_mel_udf(tone).alias("mel"))
     long = long_posteriors(mel.select("utt", posteriors_udf(spark, random_tagger(["<sil>", "a", "b"]), F.col("mel")).alias("p")), "p")
     return decode.runs(decode.argmax(decode.smooth(long, 3))).groupBy("utt").agg(F.count("*").alias("runs"), F.sum("n").alias("frames"))
+
+
+# the other queries register themselves in the same tables
+from loomspark.plans import curation  # noqa: E402, F401
