@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from loomspark.functions.hashing import order_key
 
 
+#: Groups whose limits are broadcast at most.
+MOST_GROUPS = 10_000
+
+
 def cap_per_group(df: DataFrame, group: str, key: str, cap: int, seed: int = 0) -> DataFrame:
     """At most cap rows of each group. The rank limit reaches below the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy(group).orderBy(order_key(seed, F.col(key)), key)
@@ -15,7 +19,12 @@ def cap_per_group(df: DataFrame, group: str, key: str, cap: int, seed: int = 0)
 
 
 def first_by_hash(df: DataFrame, key: str, quota: DataFrame | int, group: str | None = None, seed: int = 0) -> DataFrame:
-    """The first rows in the order of their hashes: `quota` of all, or of each group as many as a table (group, quota) says.
+    """The first rows in the order of their hashes: `quota` of all, or of each group as many as a table (group, quota) says."""
+    return split_by_hash(df, key, quota, group, seed)[0]
+
+
+def split_by_hash(df: DataFrame, key: str, quota: DataFrame | int, group: str | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The first rows in the order of their hashes, and those of the same groups that are left.
 
     Rows are counted by group and by the first 16 bits of the hash; that tells which of these cells are taken whole, and only those
     that are cut are sorted, so no task sorts a whole group. Rows of one id in a cut cell are ranked among themselves."""
@@ -28,11 +37,16 @@ def first_by_hash(df: DataFrame, key: str, quota: DataFrame | int, group: str |
     before = cells.withColumn("_b", F.coalesce(F.sum("_n").over(w), F.lit(0))).join(wanted, "_g")
     # of each group: the first cell that is not taken whole, and how many rows of it are
     cut = before.where(F.col("_b") + F.col("_n") > F.col("_q")).groupBy("_g").agg(F.min(F.struct("_cell", (F.col("_q") - F.col("_b")).alias("left"))).alias("_c"))
-    placed = hashed.join(wanted.join(cut, "_g", "left"), "_g")
-    whole = placed.where(F.col("_c").isNull() | (F.col("_cell") < F.col("_c._cell")))
-    part = placed.where((F.col("_cell") == F.col("_c._cell")) & (F.col("_c.left") > 0))
-    ranked = part.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_k", F.col(f"_row.`{key}`")))).where(F.col("_r") <= F.col("_c.left"))
-    return whole.select("_row.*").unionByName(ranked.select("_row.*"))
+    limits = wanted.join(cut, "_g", "left").select("_g", F.col("_c._cell").alias("_end"), F.col("_c")["left"].alias("_left"))
+    few = limits.limit(MOST_GROUPS + 1).collect()
+    if len(few) <= MOST_GROUPS:
+        # counted once, and small enough to be sent to all tasks; beyond that the table is joined as it is
+        limits = F.broadcast(df.sparkSession.createDataFrame(few, limits.schema))
+    placed = hashed.join(limits, "_g")
+    at, end = F.col("_cell"), F.col("_end")
+    part = placed.where((at == end)).withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_k", F.col(f"_row.`{key}`"))))
+    first = placed.where(end.isNull() | (at < end)).select("_row.*").unionByName(part.where(F.col("_r") <= F.col("_left")).select("_row.*"))
+    return first, placed.where(at > end).select("_row.*").unionByName(part.where(F.col("_r") > F.col("_left")).select("_row.*"))
 
 
 def places(df: DataFrame, key: str, seed: int = 0, each: int = 1 << 20) -> DataFrame:
@@ -63,14 +77,9 @@ def quotas(real: DataFrame, stratum: str, take: int, balance: str = "proportiona
 def stratified_sample(real: DataFrame, stratum: str, key: str, take: int, balance: str = "proportional", seed: int = 0) -> DataFrame:
     """take rows by quota; what small pools leave short is drawn uniformly from the rest, by row, never with replacement."""
     q = quotas(real, stratum, take, balance)
-    chosen = first_by_hash(real, key, q.select("stratum", "quota"), stratum, seed)
+    chosen, rest = split_by_hash(real, key, q.select("stratum", "quota"), stratum, seed)
     missing = max(0, take - int(q.agg(F.sum("quota")).first()[0] or 0))
-    if not missing:
-        return chosen
-    # every pool that is not exhausted has more rows than its quota: the draw is from what the first one left
-    left = q.where("n > quota").select("stratum")
-    rest = real.join(chosen.select(F.col(key).alias("_taken")).distinct(), F.col(key) == F.col("_taken"), "left_anti") if left.limit(1).count() else real.limit(0)
-    return chosen.unionByName(first_by_hash(rest, key, missing, None, seed + 1))
+    return chosen.unionByName(first_by_hash(rest, key, missing, None, seed + 1)) if missing else chosen
 
 
 def mix(synthetic: DataFrame, real: DataFrame, stratum: str, key: str, ratio: float = 1.0, balance: str = "proportional", seed: int = 0, shuffle: bool = True) -> tuple[DataFrame, DataFrame]:

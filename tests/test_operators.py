@@ -132,8 +132,10 @@ def test_incremental(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(10))
 
 
-def test_draws_in_hash_order_without_sorting_a_group(spark):
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_draws_in_hash_order_without_sorting_a_group(spark, monkeypatch, most):
     """Quotas of a group that holds most rows, of one that is too small, ties of ids, and of none."""
+    monkeypatch.setattr(sampling, "MOST_GROUPS", most)
     df = spark.range(3000).select((F.col("id") % 2990).alias("k"), F.when(F.col("id") < 2500, "hot").when(F.col("id") < 2990, "b").alias("g"), F.lit(1).alias("_row"))
     quota = spark.createDataFrame([("hot", 700), ("b", 490), ("?", 3)], "s string, q long")
     got = sampling.first_by_hash(df, "k", quota, "g", 4)
@@ -141,6 +143,8 @@ def test_draws_in_hash_order_without_sorting_a_group(spark):
     md5 = lambda k: hashlib.md5(f"4:{k}".encode()).hexdigest()
     want = sorted(range(2500), key=lambda k: (md5(k), k))[:700]
     assert sorted(r.k for r in got.where("g = 'hot'").collect()) == sorted(want) and got.where("g = 'b'").count() == 490 and got.where("g is null").count() == 3
+    first, rest = sampling.split_by_hash(df, "k", quota, "g", 4)
+    assert first.count() == 700 + 490 + 3 and rest.count() == 3000 - first.count() and not first.join(rest, "k").where("k >= 10 and k < 2500").count()
     assert sampling.first_by_hash(df, "k", 0).count() == 0 and sampling.first_by_hash(df, "k", 9999).count() == 3000 and sampling.first_by_hash(df.limit(0), "k", 5).count() == 0
 
 
