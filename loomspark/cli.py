@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import pickle
 import sys
 from functools import reduce
 
@@ -62,12 +61,11 @@ def finetune_data(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _decoded(spark: SparkSession, rows: DataFrame, args: argparse.Namespace) -> DataFrame:
-    """id, units, n_units, confidence of rows (utt, samples)."""
+    """id, units, n_units, confidence, error of rows (utt, samples, error); a row that can't be read is a record with its error."""
     from loomspark.functions.audio import log_mel_udf
-    from loomspark.functions.tagger import long_posteriors, posteriors_udf
+    from loomspark.functions.tagger import load, long_posteriors, posteriors_udf
 
-    with open(args.model, "rb") as f:
-        tagger = pickle.load(f)  # noqa: S301
+    tagger = load(args.model)
     ship(spark)
     mels = rows.select("utt", log_mel_udf(F.col("samples")).alias("mel"))
     long = long_posteriors(mels.select("utt", posteriors_udf(spark, tagger, F.col("mel")).alias("p")), "p")
@@ -76,41 +74,61 @@ def _decoded(spark: SparkSession, rows: DataFrame, args: argparse.Namespace) ->
     names = F.array(*map(F.lit, tagger.classes))
     got = got.withColumn("unit", F.element_at(names, F.col("class") + 1))
     by_utt = got.groupBy("utt").agg(F.array_sort(F.collect_list(F.struct("start", "unit"))).alias("u"), F.round(F.avg("confidence"), 4).alias("confidence"))
-    done = rows.select("utt").join(by_utt, "utt", "left")
-    return done.select(F.col("utt").alias("id"), F.coalesce(F.array_join(F.transform("u", lambda x: x["unit"]), " "), F.lit("")).alias("units"), F.coalesce(F.size("u"), F.lit(0)).alias("n_units"), "confidence")
+    done = rows.select("utt", "error").join(by_utt, "utt", "left")
+    return done.select(F.col("utt").alias("id"), F.coalesce(F.array_join(F.transform("u", lambda x: x["unit"]), " "), F.lit("")).alias("units"), F.coalesce(F.size("u"), F.lit(0)).alias("n_units"), "confidence", "error")
 
 
 def transcribe(spark: SparkSession, args: argparse.Namespace) -> None:
     from loomspark.functions.audio import decode_pcm
 
     ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(not args.no_recursive).lower()).option("pathGlobFilter", "*.wav").load(args.inputs)
-    rows = files.select(F.col("path").alias("utt"), decode_pcm(F.col("content"))["samples"].alias("samples"))
-    io.write_records(_decoded(spark, rows, args), args.output, args.format)
+    files = io.audio_files(spark, args.inputs, not args.no_recursive).withColumn("d", decode_pcm(F.col("content")))
+    io.write_records(_decoded(spark, files.select(F.col("path").alias("utt"), "d.samples", "d.error"), args), args.output, args.format)
 
 
 def table(spark: SparkSession, args: argparse.Namespace) -> None:
     """Transcribe the audio column of Parquet tables; with --score the units are held against the text column."""
-    from loomspark.functions.audio import decode_pcm
+    from loomspark.functions.audio import decode_pcm, waveform
     from loomspark.functions.distance import pair_uer
 
     ship(spark)
-    df = spark.read.parquet(*args.inputs).withColumn("utt", F.monotonically_increasing_id().cast("string"))
-    df = df.limit(args.limit) if args.limit else df
+    # a row is known by its file and its place there, so every branch of the plan means the same rows
+    found = spark.read.parquet(*args.inputs).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    if args.offset or args.limit:
+        found = sampling.page(found, ["_file", "_at"], args.offset, args.limit or 2**31 - 1)
+    df = found.withColumn("utt", F.concat_ws(":", F.element_at(F.split("_file", "/"), -1), "_at")).drop("_file", "_at")
     audio = io.find_column(df.drop("utt"), "audio", args.audio_column)
-    raw = F.col(audio)["bytes"] if audio and "struct" in df.schema[audio].dataType.simpleString() else F.col(str(audio))
-    out = _decoded(spark, df.select("utt", decode_pcm(raw)["samples"].alias("samples")), args)
+    kind = df.schema[audio].dataType
+    read = waveform(F.col(audio), kind.names) if hasattr(kind, "names") else decode_pcm(F.col(audio))
+    out = _decoded(spark, df.select("utt", read.alias("d")).select("utt", "d.samples", "d.error"), args)
     text = io.find_column(df, "text", args.text_column)
     if args.score and text:
         lang = get_language(args.language)
         ref = df.select(F.col("utt").alias("id"), lang.units(F.col(text)).alias("r"))
         out = out.join(ref, "id").withColumn("uer", pair_uer(F.filter(F.split("units", " "), lambda u: u != ""), F.col("r"))).withColumn("reference_units", F.array_join("r", " ")).drop("r")
+        mean = out.where("error is null").agg(F.count("uer").alias("n"), F.avg("uer").alias("uer")).first()
+        print(f"{mean.n} rows scored, mean UER {mean.uer or 0:.4f}", file=sys.stderr)
     io.write_records(out, args.output, args.format)
 
 
 def finetune(spark: SparkSession, args: argparse.Namespace) -> None:
     """What a transfer between two vocabularies (Parquet: class, unit) would keep, add and drop. Training itself is external."""
-    stats.vocab_remap(spark.read.parquet(args.old), spark.read.parquet(args.new)).orderBy("status", "unit").show(10_000, truncate=False)
+    for r in stats.vocab_remap(spark.read.parquet(args.old), spark.read.parquet(args.new)).orderBy("status", "unit").toLocalIterator():
+        print(r.status, r.unit, r.old_class, r.new_class, sep="\t")
+
+
+def inspect(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Shares of the labels of a stored track (Parquet: utt, t, label), largest first."""
+    for r in stats.inspect(spark.read.parquet(args.track)).orderBy(F.desc("n"), "label").toLocalIterator():
+        print(r.label, r.n, f"{r.pct:.2f}", f"{r.labelled_pct:.2f}", sep="\t")
+
+
+def real_pairs(spark: SparkSession, args: argparse.Namespace) -> None:
+    """One published set of all shards' CSV files: Parquet, counts by source on standard error; --sample writes a draw instead."""
+    pairs, counts = io.finalise(spark, args.folder)
+    for r in counts.orderBy("source").toLocalIterator():
+        print(r.source, r.n, sep="\t", file=sys.stderr)
+    io.write_pairs_parquet(sampling.sample_published(pairs, "source", "id", args.sample, "id", args.seed) if args.sample else pairs, args.output)
 
 
 def info(spark: SparkSession | None, args: argparse.Namespace) -> None:
@@ -132,7 +150,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-o", "--output", required=True)
 
     def decoding(p: argparse.ArgumentParser) -> None:
-        p.add_argument("--model", required=True, help="a pickled Tagger of your own making")
+        p.add_argument("--model", required=True, help="weights as tagger.save() writes them (npz)")
         p.add_argument("--smooth", type=int, default=7)
         p.add_argument("--min-frames", type=int, default=2)
         p.add_argument("--min-confidence", type=float, default=0.0)
@@ -167,6 +185,7 @@ def parser() -> argparse.ArgumentParser:
     texts(p)
     p.add_argument("-f", "--format", **formats)
     p.add_argument("--audio-column")
+    p.add_argument("--offset", type=int, default=0, help="rows to skip; the limit counts those after them")
     p.add_argument("--score", action="store_true")
     decoding(p)
     p.set_defaults(run=table)
@@ -174,6 +193,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("old")
     p.add_argument("new")
     p.set_defaults(run=finetune)
+    p = sub.add_parser("inspect")
+    p.add_argument("track")
+    p.set_defaults(run=inspect)
+    p = sub.add_parser("real-pairs")
+    p.add_argument("folder")
+    p.add_argument("-o", "--output", required=True)
+    p.add_argument("--sample", type=int, default=0)
+    p.add_argument("--seed", type=int, default=0)
+    p.set_defaults(run=real_pairs)
     p = sub.add_parser("info")
     p.add_argument("document")
     p.add_argument("--json", action="store_true")

@@ -48,15 +48,24 @@ def log_mel_udf(wave_col: Column) -> Column:
     return F.pandas_udf(_log_mels, T.ArrayType(T.ArrayType(T.FloatType())))(wave_col)
 
 
+def _integers(raw: bytes, width: int) -> np.ndarray:
+    """Samples of 8 (unsigned), 16, 24 or 32 bits in -1..1."""
+    if width == 1:
+        return (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    if width == 3:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int64)
+        x = b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16
+        return (x - ((x & 0x800000) << 1)) / 8388608
+    return np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(np.float64) / (1 << 8 * width - 1)
+
+
 def _decoded(raw: pd.Series) -> pd.DataFrame:
     """WAV bytes to mono samples at RATE; what can't be read gives an error, never a failure."""
     out = []
     for b in raw:
         try:
             with wave.open(io.BytesIO(b)) as w:
-                if w.getsampwidth() != 2:
-                    raise ValueError(f"{8 * w.getsampwidth()}-bit samples")
-                x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768
+                x = _integers(w.readframes(w.getnframes()), w.getsampwidth()).reshape(-1, w.getnchannels()).mean(axis=1)
                 if w.getframerate() != RATE:
                     n = round(len(x) * RATE / w.getframerate())
                     x = np.interp(np.arange(n) * w.getframerate() / RATE, np.arange(len(x)), x)
@@ -75,3 +84,12 @@ def scaled(samples: Column, peak: float = 1.5) -> Column:
     """Samples in -1..1: those of 16-bit integers, whose peak is beyond `peak`, are divided by 32768."""
     most = F.aggregate(samples, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x).cast("double")))
     return F.transform(samples, lambda x: F.when(most > peak, x.cast("double") / 32768.0).otherwise(x.cast("double")))
+
+
+def waveform(field: Column, names: list[str]) -> Column:
+    """struct<samples, error> of a struct that holds an array of samples, WAV bytes, or both; the array comes first."""
+    decoded = decode_pcm(field["bytes"]) if "bytes" in names else F.struct(F.lit(None).cast("array<float>").alias("samples"), F.lit("no samples and no bytes").alias("error"))
+    if "array" not in names:
+        return decoded
+    own = scaled(field["array"]).cast("array<float>")
+    return F.when(field["array"].isNotNull(), F.struct(own.alias("samples"), F.lit(None).cast("string").alias("error"))).otherwise(decoded)

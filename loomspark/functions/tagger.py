@@ -108,6 +108,32 @@ def random_tagger(classes: list[str], channels: tuple[int, ...] = (4, 8), width:
     return Tagger(tuple(classes), 0.0, 1.0, tuple(planes), layer(width, before, mels), temporal, layer(len(classes), width))
 
 
+def save(tagger: Tagger, path: str) -> None:
+    """Weights and what is needed to use them as plain arrays (npz)."""
+    arrays = {"classes": np.array(tagger.classes), "norm": np.array([tagger.mean, tagger.std]), "dilations": np.array([d for d, _, _ in tagger.temporal], np.int64)}
+    layers = {f"plane{i}{j}": x for i, block in enumerate(tagger.planes) for j, x in enumerate(block)} | {f"time{i}{j}": x for i, (_, *block) in enumerate(tagger.temporal) for j, x in enumerate(block)} | {"collapse": tagger.collapse, "head": tagger.head}
+    np.savez(path, **arrays, **{f"{k}_{part}": x for k, layer in layers.items() for part, x in zip("wb", layer, strict=True)})
+
+
+def load(path: str) -> Tagger:
+    """A tagger that save() has written; nothing but arrays is read."""
+    with np.load(path, allow_pickle=False) as z:
+        layer = lambda k: (z[f"{k}_w"], z[f"{k}_b"])
+        n = sum(1 for k in z.files if k.startswith("plane") and k.endswith("0_w"))
+        temporal = tuple((int(d), layer(f"time{i}0"), layer(f"time{i}1")) for i, d in enumerate(z["dilations"]))
+        return Tagger(tuple(map(str, z["classes"])), float(z["norm"][0]), float(z["norm"][1]), tuple((layer(f"plane{i}0"), layer(f"plane{i}1")) for i in range(n)), layer("collapse"), temporal, layer("head"))
+
+
+def tiled_posteriors(tagger: Tagger, mel: np.ndarray, size: int) -> np.ndarray:
+    """What one pass over mel gives, from stretches of `size` frames with the receptive field as a margin: memory follows the stretch, not the utterance."""
+    margin = tagger.receptive_field // 2
+    out = []
+    for k in range(0, len(mel), size):
+        lo = max(0, k - margin)
+        out.append(tagger.posteriors(mel[lo : k + size + margin])[k - lo : k - lo + size])
+    return np.concatenate(out) if out else np.zeros((0, len(tagger.classes)), np.float32)
+
+
 def posteriors_udf(spark: SparkSession, tagger: Tagger, mel: Column) -> Column:
     """array<array<float>> of a column of mels. The weights, of fixed size, are broadcast."""
     sent = spark.sparkContext.broadcast(tagger)

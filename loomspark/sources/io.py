@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +28,27 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
         for c in PAIR.names:
             if c not in raw.columns:
                 raw = raw.withColumn(c, F.lit(None).cast("string"))
-        n = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + 1
-        numbered = raw.withColumn("id", F.coalesce(F.nullif(F.col("id"), F.lit("")), n.cast("string")))
-        return _filled(numbered.where("coalesce(units, '') <> '' and coalesce(text, '') <> ''")).withColumn("reference_units", F.nullif(F.col("reference_units"), F.lit("")))
+        # a column of its own: what numbers rows must see all of them, also those that have an id
+        named = raw.withColumn("_line", _line(raw)).withColumn("id", F.coalesce(F.nullif(F.col("id"), F.lit("")), (F.col("_line") + 2).cast("string")))
+        return _filled(named.where("coalesce(units, '') <> '' and coalesce(text, '') <> ''")).withColumn("reference_units", F.nullif(F.col("reference_units"), F.lit("")))
     lines = spark.read.schema(T.StructType([*PAIR.fields, T.StructField("_bad", T.StringType())])).json(path, columnNameOfCorruptRecord="_bad")
     why = F.when(F.col("_bad").isNotNull(), F.concat(F.lit("bad JSON: "), F.col("_bad"))).when(F.col("units").isNull() | F.col("text").isNull(), F.lit("a pair without units or text"))
     checked = lines.withColumn("units", F.when(why.isNotNull(), F.raise_error(F.concat(F.input_file_name(), F.lit(": "), why)).cast("string")).otherwise(F.col("units")))
     return _filled(checked)
 
 
+def _line(df: DataFrame) -> Column:
+    """The place of each row of a scan, from 0: partitions are counted first, so nothing is sorted and no task numbers the whole table."""
+    at = F.monotonically_increasing_id()
+    counts = df.select(F.shiftright(at, 33).alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect()
+    before, total = {}, 0
+    for r in counts:
+        before[r.p] = total
+        total += r.n
+    base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.shiftright(at, 33)] if before else F.lit(0)
+    return base + at.bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def read_table_pairs(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Parquet pairs: the limit comes before the filter on empty rows."""
     df = spark.read.parquet(path)
@@ -42,6 +56,73 @@ def read_table_pairs(spark: SparkSession, path: str, limit: int | None = None) -
     return df.where("coalesce(units, '') <> '' and coalesce(text, '') <> ''")
 
 
+def resolve_pairs(spark: SparkSession, ref: str | None, language: str, hub: str | None = None, published: dict[str, str] | None = None, limit: int | None = None) -> tuple[DataFrame, str]:
+    """Pairs and where they come from. ref is a file (or folder), or a name with a slash below `hub`; without one, the language's published name. What can't be found is an error."""
+    name = ref or (published or {}).get(language)
+    if name is None:
+        raise ValueError(f"there are no published pairs for {language!r}; name a file or a set")
+    for path, what in ((name, "file"), (f"{hub.rstrip('/')}/{name}" if hub and "/" in name else None, "set")):
+        if path and _exists(spark, path):
+            pairs = read_pairs(spark, path) if path.endswith((".csv", ".csv.gz", ".json", ".jsonl", ".jsonl.gz")) else _filled_columns(read_table_pairs(spark, path, limit))
+            return pairs, f"{what} {name}"
+    raise FileNotFoundError(f"{name}: neither a file nor a set{f' below {hub}' if hub else ''}")
+
+
+def _filled_columns(df: DataFrame) -> DataFrame:
+    for c in PAIR.names:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    return _filled(df)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
+def resolve_checkpoint(spark: SparkSession, path: str | None, language: str, default: dict[str, str] | None = None, name: str = "best.npz") -> str:
+    """A checkpoint's file: the one named, `name` in the folder named, or the language's default; an error that says what was tried."""
+    given = path or (default or {}).get(language)
+    if given is None:
+        raise ValueError(f"no checkpoint was named, and there is no default for {language!r}")
+    for found in ([given] if given.endswith(".npz") else [f"{given.rstrip('/')}/{name}"]):
+        if _exists(spark, found):
+            return found
+    raise FileNotFoundError(f"no checkpoint at {given}")
+
+
+def audio_files(spark: SparkSession, inputs: list[str], recursive: bool = True, extensions: tuple[str, ...] = ("wav", "flac", "mp3", "ogg", "m4a")) -> DataFrame:
+    """path, length, content of the audio files in folders (or named), by path. What doesn't exist is an error."""
+    if missing := [p for p in inputs if not _exists(spark, p)]:
+        raise FileNotFoundError(", ".join(missing))
+    glob = "*.{" + ",".join([*extensions, *map(str.upper, extensions)]) + "}"
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(inputs).select("path", "length", "content")
+
+
+def finalise(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs of all shards' CSV files below a folder, and how many each source has."""
+    pairs = _filled_columns(spark.read.csv(folder, header=True, multiLine=True, escape='"', recursiveFileLookup=True, pathGlobFilter="*.csv"))
+    return pairs, pairs.groupBy("source").agg(F.count("*").alias("n"))
+
+
+def write_features(frames: DataFrame, path: str) -> None:
+    """The feature store: a row a frame, in folders by split and shard; a shard that is written again replaces itself alone."""
+    frames.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "shard").parquet(path)
+
+
+def missing_shards(store: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of wanted (split, shard) those that the store has no frame of."""
+    return wanted.join(store.select("split", "shard").distinct(), ["split", "shard"], "left_anti")
+
+
+def cached(spark: SparkSession, root: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table below root/key; it is built only where it isn't complete yet."""
+    path = f"{root.rstrip('/')}/{key}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """JSON lines; null fields are left out."""
     pairs.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
