@@ -60,10 +60,17 @@ def chunk_label_counts(chunk: DataFrame, track: DataFrame, utt: str = "utt") ->
     return track.where("label >= 0").join(at, [utt, "t"]).groupBy("label").agg(F.sum("times").alias("n"))
 
 
-def offsets(utterances: DataFrame, shard: str, order: str, n: str) -> DataFrame:
-    """Where each utterance begins in its shard's blob."""
-    w = Window.partitionBy(shard).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return utterances.withColumn("off", F.coalesce(F.sum(n).over(w), F.lit(0)))
+def offsets(utterances: DataFrame, shard: str, order: str, n: str, ranges: int = 64) -> DataFrame:
+    """Where each utterance begins in its shard's blob, in the order of a numeric column: equal ranges of it are summed within themselves and
+    then among each other, so that a large shard is as many tasks as it has ranges."""
+    lo, hi = utterances.agg(F.min(order), F.max(order)).first()
+    width = max((float(hi) - float(lo)) / ranges, 1e-12) if lo is not None else 1.0
+    b = utterances.withColumn("_b", F.coalesce(F.least(F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)), F.lit(ranges - 1)).cast("int"), F.lit(-1)))
+    w = Window.partitionBy("_s").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = b.groupBy(F.col(shard).alias("_s"), F.col("_b").alias("_at")).agg(F.sum(n).alias("_n")).select("_s", F.col("_at"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(shard, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    j = b.withColumn("_off", F.coalesce(F.sum(n).over(within), F.lit(0))).join(before, F.col(shard).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_at")))
+    return j.select(*utterances.columns, (F.col("_base") + F.col("_off")).alias("off"))
 
 
 def padded(chunk: DataFrame, track: DataFrame, size: int, utt: str = "utt") -> DataFrame:

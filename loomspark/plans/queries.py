@@ -438,7 +438,7 @@ def log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ship(spark)
     tone = F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda i: F.sin(i * (F.coalesce("value", F.lit(0.0)) + 1) / 500).cast("float"))
-    e = table(spark, sf_dir, "events").select("event_id", log_mel_udf(tone).alias("mel"))
+    e = spread(table(spark, sf_dir, "events").select("event_id", "value")).select("event_id", log_mel_udf(tone).alias("mel"))
     return e.select("event_id", F.size("mel").alias("frames"), F.round(F.aggregate(F.flatten("mel"), F.lit(0.0), lambda a, v: a + v), 2).alias("total"))
 
 
@@ -494,14 +494,15 @@ def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames by best class of an untrained tagger over synthetic tones: mel, network, argmax and runs in one plan."""
+    """Frames by best class of an untrained tagger over a tone for each event, every eighth one of them several times as long as the network sees: mel, network, argmax and runs in one plan."""
     from loomspark.functions.audio import log_mel_udf
     from loomspark.functions.tagger import long_posteriors, posteriors_udf, random_tagger
     from loomspark.session import ship
 
     ship(spark)
-    tone = F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda i: F.sin(i * (F.col("r_regionkey") + 1) / 50).cast("float"))
-    mel = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("utt"), log_mel_udf(tone).alias("mel"))
+    length = F.when(F.col("event_id") % 8 == 0, 8000).otherwise(1600)
+    tone = F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.sin(i * (F.coalesce("value", F.lit(0.0)) + 1) / 500).cast("float"))
+    mel = spread(table(spark, sf_dir, "events").select("event_id", "value")).select(F.col("event_id").alias("utt"), log_mel_udf(tone).alias("mel"))
     long = long_posteriors(mel.select("utt", posteriors_udf(spark, random_tagger(["<sil>", "a", "b"]), F.col("mel")).alias("p")), "p")
     return decode.runs(decode.argmax(decode.smooth(long, 3))).groupBy("utt").agg(F.count("*").alias("runs"), F.sum("n").alias("frames"))
 

@@ -137,7 +137,7 @@ def write_pairs_parquet(pairs: DataFrame, path: str) -> None:
 
 
 def write_records(records: DataFrame, path: str, fmt: str) -> None:
-    """jsonl, csv, text (id, tab, units), or json: one array in one file, so for small results."""
+    """jsonl, csv, text (id, tab, units), or json: one array in one file, which one task writes row by row."""
     out = records.write.mode("overwrite")
     if fmt == "jsonl":
         out.json(path)
@@ -146,7 +146,11 @@ def write_records(records: DataFrame, path: str, fmt: str) -> None:
     elif fmt == "text":
         records.select(F.concat_ws("\t", "id", "units")).write.mode("overwrite").text(path)
     elif fmt == "json":
-        records.agg(F.to_json(F.collect_list(F.struct("*")))).write.mode("overwrite").text(path)
+        # an opening, the rows, a closing: the file is an array whose lines are its elements, and nothing is gathered
+        line = F.concat(F.when(F.monotonically_increasing_id() > 0, ",").otherwise(""), F.to_json(F.struct("*")))
+        edge = lambda mark: records.sparkSession.range(0, 1, 1, 1).select(F.lit(mark).alias("value"))
+        rows = records.coalesce(1).select(line.alias("value"))
+        edge("[").unionAll(rows).unionAll(edge("]")).coalesce(1).write.mode("overwrite").text(path)
     else:
         raise ValueError(f"unknown format {fmt!r}: jsonl, json, csv or text")
 

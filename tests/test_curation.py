@@ -102,6 +102,13 @@ def test_sources_resolve_and_cache(spark, tmp_path):
         io.resolve_checkpoint(spark, None, "twi", {"twi": (tmp_path / "gone.npz").as_uri()})
 
 
+def test_json_arrays_are_whole(spark, tmp_path):
+    for n in (0, 1, 50):
+        io.write_records(spark.range(n).repartition(3).select("id", F.lit("a,\n").alias("t")), (tmp_path / f"j{n}").as_uri(), "json")
+        found = json.loads("".join(p.read_text() for p in sorted((tmp_path / f"j{n}").glob("part-*"))))
+        assert sorted(r["id"] for r in found) == list(range(n)) and all(r["t"] == "a,\n" for r in found)
+
+
 def test_csv_ids_follow_the_lines(spark, tmp_path):
     (tmp_path / "p.csv").write_text('units,text,id\n"a ""b""",x,\n,y,\nc,"z\nz",own\nd,w,\n')
     got = [(r.units, r.id) for r in io.read_pairs(spark, (tmp_path / "p.csv").as_uri()).collect()]
