@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 import wave
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,21 +33,73 @@ def mel_filters() -> np.ndarray:
 
 
 def log_mel(x: np.ndarray) -> np.ndarray:
-    """[frames, N_MELS]: centred frames, periodic Hann window, power spectrum, log10 floored at 1e-10."""
+    """[..., frames, N_MELS] of samples [..., n]: centred frames, periodic Hann window, power spectrum, log10 floored at 1e-10."""
     pad = N_FFT // 2
-    x = np.pad(np.asarray(x, np.float64), pad, mode="reflect" if len(x) > pad else "constant")
-    frames = np.lib.stride_tricks.sliding_window_view(x, N_FFT)[::HOP]
+    x = np.asarray(x, np.float64)
+    x = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(pad, pad)], mode="reflect" if x.shape[-1] > pad else "constant")
+    frames = np.lib.stride_tricks.sliding_window_view(x, N_FFT, -1)[..., ::HOP, :]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(N_FFT) / N_FFT)
     return np.log10(np.maximum((np.abs(np.fft.rfft(frames * window)) ** 2) @ mel_filters(), 1e-10)).astype(np.float32)
 
 
-def _log_mels(waves: pd.Series) -> pd.Series:
-    return waves.map(lambda x: None if x is None or not len(x) else log_mel(x).tolist())
+def lengths(lists: pa.Array) -> np.ndarray:
+    """Of each list; 0 for null."""
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def inner_rows(lists: pa.Array) -> np.ndarray:
+    """The inner lists of lists of lists of numbers, all of one length, as the rows of one array; null is NaN."""
+    rows = lists.flatten()
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if len(rows) else np.zeros((0, 1), np.float32)
+
+
+def floats(x: np.ndarray) -> pa.Array:
+    """All numbers of x, row by row; NaN is null."""
+    return pa.array(x.ravel(), from_pandas=True)
+
+
+def as_lists(values: pa.Array, sizes: np.ndarray, none: np.ndarray | None = None) -> pa.Array:
+    """Lists of so many values each, one after the other; null where none says so."""
+    ends = pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32())
+    return pa.ListArray.from_arrays(ends, values, mask=None if none is None else pa.array(none))
+
+
+def alike(sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of equal size, together as many as stay within `most` (one at least): what array kernels take at once. None of size 0."""
+    order = np.argsort(sizes, kind="stable")
+    order = order[np.searchsorted(sizes[order], 1) :]
+    for same in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
+        step = max(1, most // int(sizes[same[0]]))
+        yield from (same[k : k + step] for k in range(0, len(same), step))
+
+
+def _log_mels(waves: pa.Array) -> pa.Array:
+    n, x = lengths(waves), waves.flatten().to_numpy(zero_copy_only=False)
+    start, frames = np.cumsum(n) - n, np.where(n > 0, n_frames(n), 0)
+    out, to = np.empty((int(frames.sum()), N_MELS), np.float32), np.cumsum(frames) - frames
+    for same in alike(n, 1 << 17):
+        out[to[same][:, None] + np.arange(frames[same[0]])] = log_mel(x[start[same][:, None] + np.arange(n[same[0]])])
+    return as_lists(as_lists(floats(out), np.full(len(out), N_MELS)), frames, n == 0)
 
 
 def log_mel_udf(wave_col: Column) -> Column:
     """array<array<float>> of a column of samples."""
-    return F.pandas_udf(_log_mels, T.ArrayType(T.ArrayType(T.FloatType())))(wave_col)
+    return F.arrow_udf(_log_mels, T.ArrayType(T.ArrayType(T.FloatType())))(wave_col)
+
+
+def _tones(pitch: pa.Array, n: pa.Array) -> pa.Array:
+    sizes, by = n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), pitch.to_numpy(zero_copy_only=False)
+    out, to = np.empty(int(sizes.sum()), np.float32), np.cumsum(sizes) - sizes
+    for same in alike(sizes, 1 << 17):
+        at = np.arange(sizes[same[0]])
+        with np.errstate(invalid="ignore", over="ignore"):
+            out[to[same][:, None] + at] = np.sin(at * by[same][:, None] / 500)
+    return as_lists(pa.array(out), sizes)
+
+
+def tone_udf(pitch: Column, n: Column) -> Column:
+    """array<float>: n samples of a sine that moves on by pitch / 500 with each."""
+    return F.arrow_udf(_tones, T.ArrayType(T.FloatType()))(pitch.cast("double"), n.cast("int"))
 
 
 def _integers(raw: bytes, width: int) -> np.ndarray:

@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.functions.audio import N_MELS
+from loomspark.functions.audio import N_MELS, alike, as_lists, floats, inner_rows, lengths
 
 Layer = tuple[np.ndarray, np.ndarray]
 
@@ -27,26 +28,34 @@ def fold_norm(weight: np.ndarray, gain: np.ndarray, shift: np.ndarray, mean: np.
 
 
 def conv_time(x: np.ndarray, layer: Layer, dilation: int = 1) -> np.ndarray:
-    """[channels, T] by weights [out, channels, taps] with an odd number of taps; zeros beyond the ends."""
+    """[..., channels, T] by weights [out, channels, taps] with an odd number of taps; zeros beyond the ends."""
     w, b = layer
-    reach = w.shape[2] // 2 * dilation
-    padded = np.pad(x, ((0, 0), (reach, reach)))
-    return sum(w[:, :, k] @ padded[:, k * dilation : k * dilation + x.shape[1]] for k in range(w.shape[2])) + b[:, None]
+    reach, n = w.shape[2] // 2 * dilation, x.shape[-1]
+    padded = np.zeros((*x.shape[:-1], n + 2 * reach), x.dtype)
+    padded[..., reach : reach + n] = x
+    taps = np.concatenate([padded[..., k * dilation : k * dilation + n] for k in range(w.shape[2])], axis=-2)
+    return w.transpose(0, 2, 1).reshape(len(w), -1) @ taps + b[:, None]
 
 
 def conv_plane(x: np.ndarray, layer: Layer) -> np.ndarray:
-    """[channels, mels, T] by weights [out, channels, 3, 3]; zeros beyond the edges."""
+    """[..., channels, mels, T] by weights [out, channels, 3, 3]; zeros beyond the edges.
+
+    Planes lie flat with their edges, so each tap is one stretch of them; the two columns too many go at the end."""
     w, b = layer
-    padded = np.pad(x, ((0, 0), (1, 1), (1, 1)))
-    taps = [np.tensordot(w[:, :, i, j], padded[:, i : i + x.shape[1], j : j + x.shape[2]], 1) for i in range(3) for j in range(3)]
-    return sum(taps) + b[:, None, None]
+    *lead, c, f, n = x.shape
+    wide = n + 2
+    flat = np.zeros((*lead, c, (f + 2) * wide + 2), x.dtype)
+    flat[..., : (f + 2) * wide].reshape(*lead, c, f + 2, wide)[..., 1:-1, 1:-1] = x
+    taps = np.concatenate([flat[..., k : k + f * wide] for k in (i * wide + j for i in range(3) for j in range(3))], axis=-2)
+    out = w.transpose(0, 2, 3, 1).reshape(len(w), -1) @ taps + b[:, None]
+    return out.reshape(*lead, len(w), f, wide)[..., :n]
 
 
 def halve_mels(x: np.ndarray) -> np.ndarray:
-    """Maximum of each two neighbours on the mel axis; a last odd one stands alone."""
-    if x.shape[1] % 2:
-        x = np.concatenate((x, x[:, -1:]), axis=1)
-    return np.maximum(x[:, ::2], x[:, 1::2])
+    """Maximum of each two neighbours on the mel axis, the last but one; a last odd one stands alone."""
+    if x.shape[-2] % 2:
+        x = np.concatenate((x, x[..., -1:, :]), axis=-2)
+    return np.maximum(x[..., ::2, :], x[..., 1::2, :])
 
 
 def relu(x: np.ndarray) -> np.ndarray:
@@ -66,24 +75,24 @@ class Tagger:
     head: Layer
 
     def logits(self, mel: np.ndarray) -> np.ndarray:
-        """[T, classes] of a normalised mel [T, mels]."""
-        x = np.asarray(mel, np.float32).T[None]
+        """[..., T, classes] of a normalised mel [..., T, mels]; what stands beside an utterance has no part in its figures."""
+        x = np.asarray(mel, np.float32).swapaxes(-1, -2)[..., None, :, :]
         for first, second in self.planes:
             x = halve_mels(relu(conv_plane(relu(conv_plane(x, first)), second)))
         w, b = self.collapse
-        h = relu(np.tensordot(w, x, 2) + b[:, None])
+        h = relu(w.reshape(len(w), -1) @ x.reshape(*x.shape[:-3], -1, x.shape[-1]) + b[:, None])
         for dilation, wide, point in self.temporal:
             h = relu(h + conv_time(relu(conv_time(h, wide, dilation)), point))
-        return (self.head[0] @ h + self.head[1][:, None]).T
+        return (self.head[0] @ h + self.head[1][:, None]).swapaxes(-1, -2)
 
     def normal(self, mel: np.ndarray) -> np.ndarray:
         return (np.asarray(mel, np.float32) - self.mean) / self.std
 
     def posteriors(self, mel: np.ndarray) -> np.ndarray:
-        """[T, classes], each row a distribution, of a raw mel."""
+        """[..., T, classes], each row a distribution, of raw mels of one length."""
         z = self.logits(self.normal(mel))
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        p = np.exp(z - z.max(axis=-1, keepdims=True))
+        return p / p.sum(axis=-1, keepdims=True)
 
     @property
     def receptive_field(self) -> int:
@@ -135,13 +144,61 @@ def tiled_posteriors(tagger: Tagger, mel: np.ndarray, size: int) -> np.ndarray:
 
 
 def posteriors_udf(spark: SparkSession, tagger: Tagger, mel: Column) -> Column:
-    """array<array<float>> of a column of mels. The weights, of fixed size, are broadcast."""
+    """array<array<float>> of a column of mels; those of one length go through the network together. The weights, of fixed size, are broadcast."""
     sent = spark.sparkContext.broadcast(tagger)
 
-    def run(mels: pd.Series) -> pd.Series:
-        return mels.map(lambda m: None if m is None or not len(m) else sent.value.posteriors(np.stack(m)).tolist())
-
-    return F.pandas_udf(run, T.ArrayType(T.ArrayType(T.FloatType())))(mel)
+    def run(mels: pa.Array) -> pa.Array:
+        t, n, x = sent.value, lengths(mels), inner_rows(mels)
+        start, out = np.cumsum(n) - n, np.empty((len(x), len(t.classes)), np.float32)
+        for same in alike(n, 1 << 9):
+            at = start[same][:, None] + np.arange(n[same[0]])
+            out[at] = t.posteriors(x[at])
+        return as_lists(as_lists(floats(out), np.full(len(out), len(t.classes))), n, n == 0)
+
+    return F.arrow_udf(run, T.ArrayType(T.ArrayType(T.FloatType())))(mel)
+
+
+def known_or_zero(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(x), 0, x)
+
+
+def best_runs(p: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """utterance, class, start, n, confidence of the runs of utterances that stand one after the other in p [frames, classes], n frames each.
+
+    The sums are those of decode.smooth, term by term. NaN is what null is there: sums and means leave it out, and any figure is better."""
+    p, utt = p.astype(np.float64), np.repeat(np.arange(len(n)), n)
+    first = np.repeat(np.cumsum(n) - n, n)
+    last, i = first + np.repeat(n, n) - 1, np.arange(len(p))
+    if width > 1:
+        back, ahead = width // 2, width - 1 - width // 2
+        total, known = np.zeros_like(p), np.zeros(p.shape, bool)
+        for k in range(-back, ahead + 1):
+            inside = (i + k >= first) & (i + k <= last)
+            total[inside] += known_or_zero(p[i[inside] + k])
+            known[inside] |= ~np.isnan(p[i[inside] + k])
+        total[~known] = np.nan
+        left, right = np.maximum(back - (i - first), 0), np.maximum(i + ahead - last, 0)
+        p = (total + left[:, None] * p[first] + right[:, None] * p[last]) / width
+    best = np.where(np.isnan(p), -np.inf, p).argmax(axis=1)
+    new = (i == first) | (best != np.roll(best, 1))
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(p)))
+    top = p[i, best]
+    sums, known = (np.add.reduceat(x, start) if len(p) else np.zeros(0) for x in (known_or_zero(top), (~np.isnan(top)).astype(np.float64)))
+    return utt[start], best[start], start - first[start], size, np.divide(sums, known, out=np.full(len(start), np.nan), where=known > 0)
+
+
+def runs_udf(posteriors: Column, width: int = 1) -> Column:
+    """array<struct<class, start, n, confidence>> by start, of a column of whole utterances: what decode.runs(decode.argmax(decode.smooth())) finds without
+    gates, with no row for each frame and class; a run of unknown figures has confidence null. Null where there are no frames."""
+
+    def run(rows: pa.Array) -> pa.Array:
+        n = lengths(rows)
+        utt, best, start, size, confidence = best_runs(inner_rows(rows), n, width)
+        got = pa.StructArray.from_arrays([pa.array(best, pa.int32()), pa.array(start, pa.int32()), pa.array(size, pa.int64()), floats(confidence)], ["class", "start", "n", "confidence"])
+        return as_lists(got, np.bincount(utt, minlength=len(n)), n == 0)
+
+    return F.arrow_udf(run, "array<struct<class:int,start:int,n:bigint,confidence:double>>")(posteriors)
 
 
 def long_posteriors(rows: DataFrame, posteriors: str, utt: str = "utt") -> DataFrame:

@@ -494,17 +494,16 @@ def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames by best class of an untrained tagger over a tone for each event, every eighth one of them several times as long as the network sees: mel, network, argmax and runs in one plan."""
-    from loomspark.functions.audio import log_mel_udf
-    from loomspark.functions.tagger import long_posteriors, posteriors_udf, random_tagger
+    """Frames by best class of an untrained tagger over a tone for each event, every eighth one of them several times as long as the network sees: mel, network, argmax and runs of an utterance at one go, so only its runs come back."""
+    from loomspark.functions.audio import log_mel_udf, tone_udf
+    from loomspark.functions.tagger import posteriors_udf, random_tagger, runs_udf
     from loomspark.session import ship
 
     ship(spark)
-    length = F.when(F.col("event_id") % 8 == 0, 8000).otherwise(1600)
-    tone = F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.sin(i * (F.coalesce("value", F.lit(0.0)) + 1) / 500).cast("float"))
-    mel = spread(table(spark, sf_dir, "events").select("event_id", "value")).select(F.col("event_id").alias("utt"), log_mel_udf(tone).alias("mel"))
-    long = long_posteriors(mel.select("utt", posteriors_udf(spark, random_tagger(["<sil>", "a", "b"]), F.col("mel")).alias("p")), "p")
-    return decode.runs(decode.argmax(decode.smooth(long, 3))).groupBy("utt").agg(F.count("*").alias("runs"), F.sum("n").alias("frames"))
+    tone = tone_udf(F.coalesce("value", F.lit(0.0)) + 1, F.when(F.col("event_id") % 8 == 0, 8000).otherwise(1600))
+    p = posteriors_udf(spark, random_tagger(["<sil>", "a", "b"]), log_mel_udf(tone))
+    run = spread(table(spark, sf_dir, "events").select("event_id", "value")).select(F.col("event_id").alias("utt"), F.explode(runs_udf(p, 3)).alias("run"))
+    return run.where("run.confidence >= 0").groupBy("utt").agg(F.count("*").alias("runs"), F.sum("run.n").alias("frames"))
 
 
 # the other queries register themselves in the same tables
