@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -205,6 +207,41 @@ def gram_hashes(h: np.ndarray, n: int, seed: int = 11) -> np.ndarray:
         return mix((sums[n:] - sums[:-n]) * down[: len(h) - n + 1])
 
 
+# ---- memory of Python workers -----------------------------------------------------------------
+
+#: What workers keep from task to task, by operator. Workers outlive a stage, and count against the executor's memory while others work.
+KEPT: dict[str, dict] = {}
+
+
+def keep_only(operator: str) -> None:
+    """Forget what other operators keep in this worker."""
+    for name, tables in KEPT.items():
+        if name != operator:
+            tables.clear()
+
+
+def give_back() -> None:
+    """Return memory that is free, or quickly made anew, to the system."""
+    for p in _POWERS.values():
+        p.up = p.down = np.ones(1, np.uint64)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(operator: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow: before it, what other operators keep in the worker goes, and after it, free memory."""
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(operator)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inside
+
+
 def binaries(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 

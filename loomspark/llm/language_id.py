@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import prepare, slices
+from loomspark.llm._common import KEPT, keep_only, lean, prepare, slices
 
 #: Bounds of the fit: texts drawn for each language, and letters of each, from a hashed place in it.
 FIT_TEXTS, FIT_EACH = 48, 500
@@ -164,6 +164,9 @@ class Parser:
         return count
 
 
+KEPT["language_id"] = Parser.made
+
+
 def foreign(phrases: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether phrases over n letters are too many for any of the languages."""
     usual = n / LEAST_PHRASE
@@ -225,7 +228,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", t
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text).alias("text"), text.rlike(r"\p{L}").alias("letter"))
-    return narrow.mapInArrow(run, "doc_id long, lang_pred string, score double, phrase double, rejected boolean")
+    return narrow.mapInArrow(lean("language_id", run), "doc_id long, lang_pred string, score double, phrase double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes], text_col: str = "text") -> DataFrame:
@@ -234,6 +237,7 @@ def keep_identified(docs: DataFrame, model: dict[str, bytes], text_col: str = "t
 
     @F.arrow_udf("boolean")
     def fits(texts: pa.Array) -> pa.Array:
+        keep_only("language_id")
         return pa.array(~predict(texts, model)[3])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

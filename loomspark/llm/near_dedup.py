@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import binaries, components, cut, drop, gram_hashes, ids_and_texts, local_links, mix, prepare, seeds, slices, utf8, word_hashes, words
+from loomspark.llm._common import binaries, components, cut, drop, give_back, gram_hashes, ids_and_texts, lean, local_links, mix, prepare, seeds, slices, utf8, word_hashes, words
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 5
@@ -95,7 +95,7 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
                 cols = [b["doc_id"].slice(lo, hi - lo), b["text_hash"].slice(lo, hi - lo), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n_shingles", "h1", "h2", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, keys array<long>")
+    return docs.mapInArrow(lean("near_dedup", run), "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -106,7 +106,7 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
             for lo, hi, data, off in slices(b["text"]):
                 yield pa.RecordBatch.from_arrays([b["id"].slice(lo, hi - lo), binaries([s.tobytes() for s in shingle_sets(data, off, n)])], ["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(lean("near_dedup", run), "id long, shingles binary")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -126,7 +126,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[k] = 100 * same >= percent * (len(both) - same)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return edges.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").join(left, "a").join(right, "b").mapInArrow(lean("near_dedup", run), "a long, b long")
 
 
 def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,7 +163,11 @@ def across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             adj &= side[:, None] != side[None, :]
         some = adj.any(axis=1)
         a = ids[some]
-        return pa.table({"a": a, "b": local_links(adj[np.ix_(some, some)], a) if len(a) else a})
+        out = pa.table({"a": a, "b": local_links(adj[np.ix_(some, some)], a) if len(a) else a})
+        if len(ids) > BLOCK // 8:
+            del all_, row, col, times, use, order, common, either, adj
+            give_back()
+        return out
 
     return dealt.join(sets, "id").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 

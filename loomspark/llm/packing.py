@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import binaries, cut, ids_and_texts, prepare, token_path
+from loomspark.llm._common import KEPT, binaries, cut, ids_and_texts, lean, prepare, token_path
 
 CAPACITY, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Words that a worker remembers in each of two generations; what falls out is tokenized anew.
@@ -83,6 +83,9 @@ class WordIds(dict):
         return out
 
 
+KEPT["packing"] = WordIds.made
+
+
 def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: doc_id, row (a number for each row of docs), piece, start, length, ids_crc32, and with with_ids also ids (binary, little-endian 32-bit)."""
     prepare(docs.sparkSession)
@@ -105,7 +108,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                 yield pa.RecordBatch.from_arrays(cols, [*"doc_id row piece start length ids_crc32".split(), *["ids"] * with_ids])
 
     schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return ids_and_texts(docs, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return ids_and_texts(docs, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(lean("packing", run), schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -226,7 +229,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, seed: int | None = None)
             yield pa.RecordBatch.from_arrays([b[c] for c in names[:-2]] + [pa.array(seq), pa.array(off)], names)
 
     prepare(spark)
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(lean("packing", run), schema)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, seed: int | None = None) -> DataFrame:

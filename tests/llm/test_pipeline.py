@@ -9,12 +9,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomspark.llm import _common, language_id, mixing, packing, secret_scan
+from loomspark.llm import _common, language_id, mixing, near_dedup, packing, secret_scan
 from tests.llm.test_llm import base_spans, near_groups, p_random, phrases
 from tests.test_oracle import SF
 
@@ -127,3 +128,23 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         _common.scratch_dir(Told)
+
+
+def test_a_worker_keeps_tables_of_one_operator():
+    """Workers outlive their stage: what packing and language ID remember must not stand beside near-dedup and the scan for secrets."""
+
+    class Here:
+        """One worker, and a task of a few rows."""
+
+        def mapInArrow(self, f, schema):
+            return list(f(iter([pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["some words " * 20_000, ""]})])))
+
+    text = b"abc def " * 100
+    packing.WordIds.of(_common.token_path(packing.VOCABULARY)).encode(text)
+    language_id.Parser.of({"en": text, "fr": text[3:]})
+    first, second = near_dedup.full_sets(Here(), 5)[0]["shingles"].to_pylist()
+    assert (len(first), len(second)) == (8 * 2, 0)
+    assert not packing.WordIds.made and not language_id.Parser.made
+    assert all(p.up.nbytes + p.down.nbytes < 1000 for p in _common._POWERS.values())
+    coder = packing.WordIds.of(_common.token_path(packing.VOCABULARY))
+    assert list(_common.lean("packing", iter)([1, 2])) == [1, 2] and packing.WordIds.of(_common.token_path(packing.VOCABULARY)) is coder
